@@ -146,7 +146,7 @@ def _number(c: Column, kind: T.DataType, op: str, values: tuple, first: int) ->
         # Spark holds NaN equal to itself and above all numbers; here it compares with nothing.
         plain = _number_test(field, op, use)
         known = ~F.isnan(field) & (F.lit(op == "IN") | ~F.isnan(use[0]))
-        return (~known | plain) if op == "NE" else (known & plain)
+        return field.isNotNull() & (~known | plain) if op == "NE" else known & plain
     else:
         return F.lit(False)
     return _number_test(field, op, use)

@@ -3,7 +3,7 @@
 A page is a header (`SLAB`, size), records without gaps, a zero-filled gap, the offsets of the records (one more than
 there are), and a footer. Pages pages index data pages by first ordinal; a store with other than the default namespace
 ends in a page of namespaces. `spark.read.format("slab").load(path)` gives (namespace, ordinal, data), one partition for
-a run of pages; filters on the namespace and on ordinals skip pages.
+a run of pages; the options `namespace`, `start` and `end` skip pages.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import storage
 
@@ -311,23 +311,12 @@ class _Pages(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, options: dict):
-        self.path, self.wanted, self.lo, self.hi = path, None, FIRST_ORDINAL, LAST_ORDINAL + 1
+        self.path, self.wanted = path, None
+        self.lo, self.hi = int(options.get("start", FIRST_ORDINAL)), int(options.get("end", LAST_ORDINAL + 1))
         self.bytes = int(options.get("partitionbytes", 32 << 20))
         if "namespace" in options:
             self.wanted = {options["namespace"]}
 
-    def pushFilters(self, filters):
-        for f in filters:
-            name, value = getattr(f, "attribute", None), getattr(f, "value", None)
-            if name == ("namespace",) and isinstance(f, (EqualTo, In)):
-                wanted = {value} if isinstance(f, EqualTo) else set(value)
-                self.wanted = wanted if self.wanted is None else self.wanted & wanted
-            elif name == ("ordinal",) and isinstance(value, int):
-                # Pages are skipped; the rows of a page that is read are left to Spark.
-                self.lo = max(self.lo, {EqualTo: value, GreaterThan: value + 1, GreaterThanOrEqual: value}.get(type(f), self.lo))
-                self.hi = min(self.hi, {EqualTo: value + 1, LessThan: value, LessThanOrEqual: value + 1}.get(type(f), self.hi))
-            yield f
-
     def partitions(self):
         out = []
         for uri in storage.files(self.path, (".slab",)):
@@ -366,11 +355,16 @@ class SlabSource(DataSource):
         return _Reader(self.options["path"], dict(self.options))
 
 
-def read(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, namespace: str | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """(namespace, ordinal, data) of a namespace, or of all, with ordinals from lo up to hi; other pages aren't read."""
     spark.dataSource.register(SlabSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    df = spark.read.format("slab").load(path)
-    return df if namespace is None else df.where(F.col("namespace") == namespace)
+    r = spark.read.format("slab")
+    for name, value in (("namespace", namespace), ("start", lo), ("end", hi)):
+        if value is not None:
+            r = r.option(name, value)
+    df = r.load(path)
+    df = df if lo is None else df.where(F.col("ordinal") >= lo)
+    return df if hi is None else df.where(F.col("ordinal") < hi)
 
 
 def pages_table(spark: SparkSession, uri: str) -> DataFrame:

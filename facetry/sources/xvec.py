@@ -1,7 +1,8 @@
 """Vector files: records of a little-endian 32-bit dimension and that many components.
 
 `spark.read.format("xvec").load(path)` gives (ordinal, vector); a folder's files follow one another by name. The element
-type comes from the extension, the dimension from the first record; every record must agree.
+type comes from the extension, the dimension from the first record; every record must agree. The options `start` and
+`end` bound the ordinals that are read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import storage
 
@@ -125,18 +126,6 @@ class _Reader(DataSourceReader):
         self.lo, self.hi = int(options.get("start", 0)), options.get("end")
         self.hi = None if self.hi is None else int(self.hi)
 
-    def pushFilters(self, filters: list[Filter]):
-        """Bounds on the ordinal choose the byte ranges that are read; the rest is left to Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("ordinal",) and isinstance(getattr(f, "value", None), int):
-                lo = {EqualTo: f.value, GreaterThan: f.value + 1, GreaterThanOrEqual: f.value}.get(type(f))
-                hi = {EqualTo: f.value + 1, LessThan: f.value, LessThanOrEqual: f.value + 1}.get(type(f))
-                if lo is not None or hi is not None:
-                    self.lo = max(self.lo, lo if lo is not None else self.lo)
-                    self.hi = hi if self.hi is None else self.hi if hi is None else min(self.hi, hi)
-                    continue
-            yield f
-
     def partitions(self):
         out, base = [], 0
         for x in self.layouts:
@@ -235,17 +224,24 @@ class XvecSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XvecSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None, window=None) -> DataFrame:
-    """A facet of (ordinal, vector); a window's bounds reach the files."""
+    """A facet of (ordinal, vector).
+
+    A window's bounds go to the reader as options, which opens only the byte ranges between them. (Filters pushed to a
+    Python source stay with it for the frame's later scans, so none are taken.)
+    """
     from ..operators.windows import Window
 
     register(spark)
+    window = Window.of(window)
     r = spark.read.format("xvec")
-    df = (r.option("kind", kind) if kind else r).load(path)
-    return Window.of(window).apply(df)
+    if kind:
+        r = r.option("kind", kind)
+    if window:
+        r = r.option("start", min(i.lo for i in window)).option("end", max(i.hi for i in window))
+    return window.apply(r.load(path))
 
 
 def write(facet: DataFrame, path: str, kind: str = "fvec", parts: int | None = None) -> None:
