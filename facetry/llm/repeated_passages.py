@@ -142,6 +142,24 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
+def _recurring(table: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc_id, phrases): the phrases of each document that the windows of another text name too.
+
+    What is shuffled is unreferenced on return, so that a sweep frees its files.
+    """
+    sources = table.where(F.size("phrases") > 0).join(first, "text_key").where("doc_id = first")
+    named = sources.select("doc_id", F.explode("phrases").alias("phrase"))
+    recurring = named.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
+    return written(named.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "recurring")
+
+
+def _repeats(places: DataFrame) -> DataFrame:
+    """(doc_id, gone): the windows (hashes) of each document that a smaller id holds."""
+    windows = places.select("doc_id", F.explode("hashes").alias("hash")).distinct()
+    source = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
+    return written(windows.join(source, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("hash").alias("gone")), "repeats")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(doc_id, text_key, n_words, n_removed, kept, kept_sha256): words that a window repeated from a smaller id covers go.
 
@@ -156,20 +174,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = written(_scanned(rows, window, phrase), "scanned")
     # Copies of a whole text repeat all of its windows: only the text of the smallest id is looked into.
     first = table.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("first"))
-    sources = table.where(F.size("phrases") > 0).join(first, "text_key").where("doc_id = first")
-    named = sources.select("doc_id", F.explode("phrases").alias("phrase"))
-    recurring = named.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
-    held = written(named.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "recurring")
+    held = _recurring(table, first)
     sweep(docs.sparkSession)
-    dealt = rows.where("text is not null").join(held.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "phrases")
-    places = written(_occurrences(dealt, window, phrase), "occurrences")
+    places = written(_occurrences(rows.where("text is not null").join(held.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "phrases"), window, phrase), "occurrences")
+    release(held)
     sweep(docs.sparkSession)
-    windows = places.select("doc_id", F.explode("hashes").alias("hash")).distinct()
-    source = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    gone = written(windows.join(source, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("hash").alias("gone")), "repeats")
+    gone = _repeats(places)
     sweep(docs.sparkSession)
     cut = written(_cut(places.join(gone, "doc_id").select("doc_id", "text", "starts", "hashes", "gone"), window).dropDuplicates(["doc_id", "text_key"]), "kept")
-    release(held, places, gone)
+    release(places, gone)
     sweep(docs.sparkSession)
     light = table.select("doc_id", "text_key", "n_words", "words_sha256").join(first, "text_key", "left").join(cut.withColumnRenamed("n_removed", "removed").withColumnRenamed("kept", "rest").withColumnRenamed("kept_sha256", "rest_sha256"), ["doc_id", "text_key"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
