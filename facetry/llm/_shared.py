@@ -64,32 +64,40 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-class Memo:
-    """A bounded two-generation cache: what is used stays, what is not used for a generation goes."""
-
-    def __init__(self, limit: int):
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def lookup(self, keys, many):
-        """Values of `keys` in order. many(list of new keys) -> list of their values; called once for the keys not known."""
-        new, old = self.new, self.old
-        try:
-            return list(map(new.__getitem__, keys))
-        except KeyError:
-            pass
-        fresh = set(keys) - new.keys()
-        if old:
-            known = fresh & old.keys()
-            for k in known:
-                new[k] = old[k]
-            fresh -= known
+class Memo(dict):
+    """A bounded two-generation cache: what is used stays, what isn't used for a generation goes.
+
+    `compute` gives the value of a key, never None. Many keys are looked up in one pass by map(memo.__getitem__, keys).
+    """
+
+    def __init__(self, limit: int, compute=None):
+        super().__init__()
+        self.limit, self.compute, self.old = limit, compute, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self._keep()
+        self[key] = value
+        return value
+
+    def _keep(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def all(self, keys, many) -> list:
+        """Values of `keys` in order; many(list of unknown keys) gives theirs at once."""
+        self._keep()
+        # Set operations with a dict's keys would walk the whole dict.
+        fresh = [k for k in set(keys) if k not in self]
+        if self.old:
+            self.update((k, self.old[k]) for k in fresh if k in self.old)
+            fresh = [k for k in fresh if k not in self]
         if fresh:
-            fresh = list(fresh)
-            new.update(zip(fresh, many(fresh)))
-        out = list(map(new.__getitem__, keys))
-        if len(new) > self.limit:
-            self.old, self.new = new, {}
-        return out
+            self.update(zip(fresh, many(fresh)))
+        return list(map(self.__getitem__, keys))
 
 
 def slices(lengths, most: int):

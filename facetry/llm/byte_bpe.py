@@ -21,27 +21,25 @@ class ByteBPE:
     stretches between them are encoded independently. Texts with runs of white space are encoded as a whole.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo = Memo(memo)
+        self.memo = Memo(memo, self._encode)
         if self.library.get_vocab_size() > 1 << 32:
             raise ValueError("ids don't fit 32 bits")
 
-    def _many(self, parts):
-        encode = self.library.encode
-        for p in parts:
-            yield np.array(encode(p, add_special_tokens=False).ids, "<u4").tobytes() if p else b""
+    def _encode(self, part: str) -> bytes:
+        return np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text; a null text has none."""
         if not text:
             return b""
         if _RUN.search(text) or "\x01" in text:
-            return next(self._many([text]))
-        return b"".join(self.memo.lookup(text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01"), self._many))
+            return self._encode(text)
+        return b"".join(map(self.memo.__getitem__, text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")))
 
 
 def load(path: str) -> ByteBPE:

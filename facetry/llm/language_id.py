@@ -147,7 +147,7 @@ class Scorer:
         """(language, score) of each text."""
         chunks = [(t or "").split() for t in texts]
         flat = [c for x in chunks for c in x]
-        table = np.array(self.memo.lookup(flat, self._many)).reshape(len(flat), len(self.languages) + 1)
+        table = np.array(self.memo.all(flat, self._many)).reshape(len(flat), len(self.languages) + 1)
         ends = np.cumsum([len(x) for x in chunks])
         sums = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(table, 0)])
         got = sums[ends] - sums[np.r_[0, ends[:-1]]]

@@ -214,12 +214,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches):
         table = load(model_file)
-        store = table.__dict__.setdefault("memo", Memo(memo))
 
-        def many(parts):
-            for p in parts:
-                ids = table.piece_ids(p)
-                yield "".join(f"{i}," for i in ids), len(ids), table.decode_bytes(ids)
+        def part(p):
+            ids = table.piece_ids(p)
+            return "".join([f"{i}," for i in ids]), len(ids), table.decode_bytes(ids)
+
+        store = table.__dict__.setdefault("memo", Memo(memo, part))
 
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -229,7 +229,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 parts = table.pretokens(t or "")
                 skip = 1
                 for lo, hi in slices([1] * len(parts), 1 << 16) if len(parts) > 1 << 16 else [(0, len(parts))]:
-                    got = store.lookup(parts[lo:hi], many)
+                    got = list(map(store.__getitem__, parts[lo:hi]))
                     if not got:
                         continue
                     text, lens, raw = zip(*got)
