@@ -22,6 +22,8 @@ from ._shared import tokenizer_path, written
 CAPACITY = 1024
 #: Documents whose ranks one task gives, about.
 RANK_GROUP = 50_000
+#: Of so many classes of lengths, rounding is held to lose one sequence at least.
+ROUNDING = 100
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -67,8 +69,8 @@ def first_fit(need: dict[int, int], capacity: int) -> Counter:
 def cutting_stock(need: dict[int, int], capacity: int = CAPACITY, gap: float = 0.002, rounds: int = 1500) -> Counter:
     """Patterns with their counts that hold exactly `need` (length: how many).
 
-    Column generation ends when the bound z / (best price) is within `gap` of the program's value z, or after `rounds`
-    columns; either only decides how little is padded.
+    Column generation ends when the bound z / (best price) is within `gap` of the program's value z, or within what
+    rounding its patterns loses anyway, or after `rounds` columns; each only decides how little is padded.
     """
     need = {int(k): int(v) for k, v in need.items() if v}
     if not need:
@@ -109,7 +111,8 @@ def cutting_stock(need: dict[int, int], capacity: int = CAPACITY, gap: float = 0
         price = inverse.sum(0)
         value[lengths - 1] = price
         best, counts = knapsack(np.r_[value, np.zeros(capacity - len(value))], capacity)
-        if best <= 1 + gap:
+        z = x.sum()
+        if z - z / best <= max(gap * z, m / ROUNDING):
             break
         enter(counts[lengths - 1].astype(float))
     out: Counter = Counter()
