@@ -8,6 +8,7 @@ One linear scan finds the contiguous region of the largest sum; its words outsid
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -42,7 +43,10 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']
 _WORD = re.compile(r"[a-z0-9]+")
 _LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 
-PLAIN, LINK, AWAY = "plain", "link", "away"
+#: Kinds of words: in running text, in a link, in furniture; on pages that mark their main content, those in it, those
+#: outside it, and furniture in it.
+PLAIN, LINK, AWAY, WITHIN, OUTSIDE, INNER = "plain", "link", "away", "within", "outside", "inner"
+_MARK = re.compile(r"<(?:article|main)[\s>]", re.I)
 
 
 def names_furniture(attributes: str) -> bool:
@@ -55,15 +59,23 @@ def names_furniture(attributes: str) -> bool:
     return False
 
 
-def tokens(page: str):
-    """(kind, value) of a page in order: ("tag", name) and (PLAIN | LINK | AWAY, raw text); hidden content is left out.
+def tokens(page: str, marked: bool):
+    """(kind, value) of a page in order: ("tag" or, in furniture within the main content, "quiet", name) and (kind, raw
+    text); hidden content is left out.
 
-    Furniture lasts to the end tag of the element that opened it, or to the start of the main content. Comments and
-    broken tags give nothing.
+    Furniture lasts to the end tag of the element that opened it; a container that isn't closed, to the start of the
+    page's main content. Comments and broken tags give nothing. With `marked`, main elements decide the kind of words.
     """
-    at, away, depth, link, main = 0, None, 0, False, 0
+    at, away, depth, link, main, begun = 0, None, 0, False, 0, False
     end = len(page)
-    kind = lambda: AWAY if away else LINK if link else PLAIN
+
+    def kind() -> str:
+        if away:
+            return INNER if marked and main else AWAY
+        if marked:
+            return WITHIN if main else OUTSIDE
+        return LINK if link else PLAIN
+
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -84,56 +96,60 @@ def tokens(page: str):
         if name in HIDDEN and not closing:
             if attributes.rstrip().endswith("/"):
                 continue
-            if name == "head":
-                stop = re.compile(r"</head\s*>|(?=<body[\s>])|(?=<(?:article|main)[\s>])", re.I).search(page, at)
-            else:
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            stop = _end_of(name).search(page, at)
             # Without an end tag a script hides the rest; other elements hide nothing.
             if stop:
                 at = stop.end()
             elif name in ("script", "style", "title", "textarea"):
                 return
             continue
-        yield "tag", name
-        if name in MAIN:
-            main = max(0, main + (-1 if closing else 1))
-            if not closing:
+        named = not closing and name not in ("html", "body") and name not in VOID and names_furniture(attributes)
+        if name in MAIN and not named:
+            if closing:
+                main = max(0, main - (away != name))
+            elif not begun and away and away not in FURNITURE:
                 away = None
+            if not closing and not away:
+                main, begun = main + 1, True
+        opens = not away and (named or not closing and name in FURNITURE and not (name == "header" and main))
+        yield "quiet" if (away or opens) and marked and main else "tag", name
         if away:
-            if name == away and name not in VOID:
+            if name == away:
                 depth += -1 if closing else 1
                 if depth == 0:
                     away = None
-        elif not closing and name not in VOID and name not in MAIN and name not in ("html", "body"):
-            if name in FURNITURE and not (name == "header" and main) or names_furniture(attributes):
-                away, depth = name, 1
+        elif opens:
+            away, depth = name, 1
         if name == "a":
             link = not closing
 
 
-def sizes(page: str):
-    """tokens() with a word count for texts: (kind, name or count)."""
-    for kind, value in tokens(page):
-        yield (kind, value) if kind == "tag" else (kind, len(html.unescape(value).split()))
+@functools.cache
+def _end_of(name: str) -> re.Pattern:
+    if name == "head":
+        return re.compile(r"</head\s*>|(?=<body[\s>])|(?=<(?:article|main)[\s>])", re.I)
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
 
 
 def observed(page: str) -> Counter:
-    """How often each kind of word and each tag stands inside (True) and outside the one main element of a labelled page."""
+    """How often each kind of word and each tag stands inside (True) and outside the one main element of a labelled page.
+
+    The kinds are those that a page without marks has: what is learned holds for such pages too.
+    """
     out: Counter = Counter()
     inside = False
-    for kind, value in sizes(page):
-        if kind == "tag":
-            if value in MAIN:
-                inside = not inside
-            else:
-                out["tag", value, inside] += 1
+    for kind, value in tokens(page, False):
+        if kind != "tag":
+            out[kind, "", inside] += len(html.unescape(value).split())
+        elif value in MAIN:
+            inside = not inside
         else:
-            out[kind, "", inside] += value
+            out["tag", value, inside] += 1
     return out
 
 
 #: Weights without labelled pages: words, and a tag in general.
-DEFAULT = {("word", PLAIN): 1.0, ("word", LINK): -0.5, ("word", AWAY): -4.0, ("tag", None): 0.5, **{("tag", t): 0.02 for t in ("p", "br", "b", "i", "em", "strong", "span", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main", "blockquote", "a")}}
+DEFAULT = {("word", PLAIN): 1.0, ("word", LINK): -0.5, ("word", AWAY): -4.0, ("word", WITHIN): 1.0, ("word", OUTSIDE): -4.0, ("word", INNER): 0.0, ("tag", None): 0.5, **{("tag", t): 0.02 for t in ("p", "br", "b", "i", "em", "strong", "span", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main", "blockquote", "a")}}
 
 
 def fit(counts: Counter) -> dict:
@@ -149,6 +165,7 @@ def fit(counts: Counter) -> dict:
     for name in {n for k, n, _ in counts if k == "tag"} - MAIN:
         i, o = counts["tag", name, True], counts["tag", name, False]
         out["tag", name] = 2 * (o + 0.5) / (i + o + 1) if o else 0.01
+    out["word", WITHIN], out["word", OUTSIDE], out["word", INNER] = max(1.0, out["word", PLAIN]), out["word", AWAY], 0.0
     return out
 
 
@@ -157,14 +174,19 @@ def extract(page: str | None, weights: dict | None = None) -> str:
     if not page:
         return ""
     weights = weights or DEFAULT
+    return (_region(page, weights, True) if _MARK.search(page) else "") or _region(page, weights, False)
+
+
+def _region(page: str, weights: dict, marked: bool) -> str:
+    """The text of the best region of a page by one scan: the sum starts anew wherever it isn't above zero."""
     other = weights["tag", None]
-    stream = list(tokens(page))
+    stream = list(tokens(page, marked))
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     texts: dict[int, str] = {}
     for i, (kind, value) in enumerate(stream):
         if kind == "tag":
             total -= weights.get(("tag", value), other)
-        else:
+        elif kind != "quiet":
             texts[i] = text = html.unescape(value)
             n = len(text.split())
             if not n:
@@ -177,10 +199,10 @@ def extract(page: str | None, weights: dict | None = None) -> str:
     parts = []
     for i in range(*best_at):
         kind, value = stream[i]
-        if kind == "tag":
+        if kind in ("tag", "quiet"):
             if value not in INLINE:
                 parts.append(" ")
-        elif kind != AWAY:
+        elif kind not in (AWAY, INNER, OUTSIDE):
             parts.append(texts[i])
     return " ".join("".join(parts).split())
 
