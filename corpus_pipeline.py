@@ -19,23 +19,33 @@ def _columns(df):
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def _without(docs, judged):
+    """docs but for ids of which no row is kept; judged: (doc_id, kept). Rows with a null id stay.
+
+    The ids that go are written first: Spark then knows their size, and sends them to the documents where they are small
+    enough for that, instead of shuffling the texts.
+    """
+    gone = judged.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept")
+    gone = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(_columns(docs))
+
+
 def detect_language(spark, docs, sf_dir):
     """Keeps documents with letters whose language is recognised; `lang` stays as it was."""
     model = language_id.train(docs.where(~language_id.held_out()), "doc_id", "text", "lang")
-    good = language_id.predicted(docs, model).where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(good.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id") == F.col("_kept"), "left_semi").select(_columns(docs))
+    good = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return _without(docs, language_id.predicted(docs, model).select("doc_id", good.alias("kept")))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Keeps of each group of near-duplicates the document of the smallest id."""
-    kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(_columns(docs))
+    return _without(docs, near_duplicates.near_duplicates(docs).select("doc_id", "kept"))
 
 
 def cut_repeats(spark, docs, sf_dir):
     """Takes passages that repeat a document of a smaller id out of the texts; documents of which nothing is left go."""
-    found = repeated_passages.without_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_cut"), "n_words", F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_cut"])
-    joined = docs.join(found.drop("n_words"), F.col("doc_id") == F.col("_cut"), "left")
+    found = repeated_passages.without_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_cut"])
+    joined = docs.join(found, F.col("doc_id") == F.col("_cut"), "left")
     changed = {"text": F.when(F.col("_removed").isNotNull(), F.col("_kept")).otherwise(F.col("text"))}
     changed["n_chars"] = F.when(F.col("_removed").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
     return joined.where("_removed is null or _kept <> ''").select([changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
