@@ -1,6 +1,6 @@
 """Substring dedup (operator 4): repeated-phrase automata.
 
-A window is 13 consecutive words. Each window names one phrase in it, the five words of least hash, so equal windows name
+A window is 13 consecutive words. Each window names one phrase in it, the seven words of least hash, so equal windows name
 equal phrases. Phrases that windows of two different texts name are confirmed as recurring; the documents that hold
 some are dealt into shards, each shard's phrases are compiled into an Aho-Corasick automaton over words, and streaming
 the shard's documents through it locates every occurrence. The windows around the occurrences are confirmed on all 13
@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from ._shared import release, slices, sweep, written
 from ._words import Words
 
-WINDOW, PHRASE = 13, 5
+#: Words of a window, and of the phrase that stands for it: long enough that unrelated texts hardly share one.
+WINDOW, PHRASE = 13, 7
 #: Characters of the documents of one shard, about.
 SHARD = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
