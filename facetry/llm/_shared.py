@@ -59,8 +59,13 @@ def release(*frames: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Ask for a collection, so that shuffle files of finished stages leave the disks before the next stage writes its own."""
+    """Let shuffle files of finished stages leave the disks before the next stage writes its own.
+
+    Spark removes them once its driver has collected their plans. The scheduler keeps its last job in hand, so a job of
+    one row takes that place first.
+    """
     gc.collect()
+    spark.range(1).collect()
     spark._jvm.System.gc()
 
 
@@ -68,36 +73,34 @@ class Memo(dict):
     """A bounded two-generation cache: what is used stays, what isn't used for a generation goes.
 
     `compute` gives the value of a key, never None. Many keys are looked up in one pass by map(memo.__getitem__, keys).
+    A worker process outlives its tasks and may come to serve several operators: focus() empties the others' memos, so
+    that their bounds don't add up.
     """
 
+    _known: "list[Memo]" = []
+
     def __init__(self, limit: int, compute=None):
         super().__init__()
         self.limit, self.compute, self.old = limit, compute, {}
+        Memo._known.append(self)
+
+    def focus(self) -> "Memo":
+        for other in Memo._known:
+            if other is not self:
+                other.clear()
+                other.old = {}
+        Memo._known = [self]
+        return self
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        self._keep()
-        self[key] = value
-        return value
-
-    def _keep(self) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-
-    def all(self, keys, many) -> list:
-        """Values of `keys` in order; many(list of unknown keys) gives theirs at once."""
-        self._keep()
-        # Set operations with a dict's keys would walk the whole dict.
-        fresh = [k for k in set(keys) if k not in self]
-        if self.old:
-            self.update((k, self.old[k]) for k in fresh if k in self.old)
-            fresh = [k for k in fresh if k not in self]
-        if fresh:
-            self.update(zip(fresh, many(fresh)))
-        return list(map(self.__getitem__, keys))
+        self[key] = value
+        return value
 
 
 def slices(lengths, most: int):

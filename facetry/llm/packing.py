@@ -139,7 +139,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches):
-        encode = byte_bpe.load(path).ids
+        model = byte_bpe.load(path)
+        model.memo.focus()
+        encode = model.ids
         for batch in batches:
             out = [[] for _ in schema]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

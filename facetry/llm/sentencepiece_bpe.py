@@ -204,7 +204,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, memo: int = 500_000) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, memo: int = 300_000) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids as text and of the decoded text; null text: empty.
 
     The same encoder as encoded(), a pretoken's ids and decoded bytes kept in a bounded memo of each process, so that
@@ -219,7 +219,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             ids = table.piece_ids(p)
             return "".join([f"{i}," for i in ids]), len(ids), table.decode_bytes(ids)
 
-        store = table.__dict__.setdefault("memo", Memo(memo, part))
+        store = table.__dict__.setdefault("memo", Memo(memo, part)).focus()
 
         for b in batches:
             texts = b.column(1).to_pylist()

@@ -155,6 +155,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         model = byte_bpe.load(path)
+        model.memo.focus()
         size = model.library.get_vocab_size()
         width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
         end, out, n = np.array([end_id], "<u4"), None, 0
