@@ -39,7 +39,7 @@ def vocabulary(path: str) -> list[str]:
 def words(text: str | None) -> list[str]:
     """Lower-case runs of letters; longer runs in parts."""
     found = _LETTERS.findall((text or "").lower())
-    return found if all(len(w) <= LONGEST_WORD for w in found) else [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+    return found if max(map(len, found), default=0) <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
 
 
 class Pieces:
@@ -124,10 +124,13 @@ def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = RO
 
 
 class Scorer:
-    """Log probabilities of words in each language, kept in a bounded memo of chunks of text."""
+    """Log probabilities of texts in each language; chunks between white space are kept as rows of a bounded table."""
 
-    def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray, memo: int = 500_000):
-        self.languages, self.index, self.p, self.memo = languages, Pieces(pieces), p, Memo(memo)
+    def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray, memo: int = 700_000):
+        self.languages, self.index, self.p = languages, Pieces(pieces), p
+        self.rows = Memo(memo)
+        # Per chunk: its number of words, and its log probability in each language.
+        self.table = np.zeros((0, len(languages) + 1))
 
     def word_scores(self, group: list[str]) -> np.ndarray:
         out = np.zeros((len(group), len(self.languages)))
@@ -136,18 +139,38 @@ class Scorer:
             out[at] = np.log(np.maximum(_forward(self.index.spans(some), self.p, 1e-7, len(some), n)[n], 1e-300))
         return out
 
-    def _many(self, chunks: list[str]):
+    def _learn(self, chunks: list[str]) -> None:
         parts = [words(c) for c in chunks]
-        flat = sorted({w for x in parts for w in x})
-        scores = dict(zip(flat, self.word_scores(flat))) if flat else {}
-        none = (0.0,) * (len(self.languages) + 1)
-        return [(float(len(x)), *sum(scores[w] for w in x)) if x else none for x in parts]
+        flat = [w for x in parts for w in x]
+        distinct = sorted(set(flat))
+        at = {w: i for i, w in enumerate(distinct)}
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        each = self.word_scores(distinct)[np.fromiter((at[w] for w in flat), np.int64, len(flat))]
+        sums = np.vstack([np.zeros((1, len(self.languages))), np.cumsum(each, 0)])
+        ends = np.cumsum(counts)
+        first = len(self.rows)
+        fresh = np.column_stack([counts, sums[ends] - sums[ends - counts]])
+        self.table = np.vstack([self.table[:first], fresh])
+        self.rows.update(zip(chunks, range(first, first + len(chunks))))
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The table's row of each chunk; what isn't known is learned, all together."""
+        got = list(map(self.rows.get, chunks))
+        if None in got:
+            fresh = {c for c, r in zip(chunks, got) if r is None}
+            if self.rows and len(self.rows) + len(fresh) > self.rows.limit:
+                self.rows.clear()
+                fresh = set(chunks)
+            self._learn(list(fresh))
+            got = list(map(self.rows.get, chunks))
+        return np.fromiter(got, np.int64, len(got))
 
     def predict(self, texts: list[str | None]):
         """(language, score) of each text."""
         chunks = [(t or "").split() for t in texts]
         flat = [c for x in chunks for c in x]
-        table = np.array(self.memo.all(flat, self._many)).reshape(len(flat), len(self.languages) + 1)
+        numbers = self._numbers(flat)
+        table = self.table[numbers]
         ends = np.cumsum([len(x) for x in chunks])
         sums = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(table, 0)])
         got = sums[ends] - sums[np.r_[0, ends[:-1]]]
@@ -172,11 +195,14 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, model_
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * documents / n + 50 / n))).otherwise(share)
-    some = rows.withColumn("draw", draw).where(F.col("draw") <= share)
+    some = rows.withColumn("draw", draw).where(F.col("draw") <= share).select("lang", "draw", "id", "text")
     counts: dict[str, dict[str, float]] = {lang: {} for lang in sizes}
-    for lang in sorted(sizes):
-        for r in some.where(F.col("lang") == lang).orderBy("draw", "id").limit(documents).select("text").toLocalIterator():
-            c = counts[lang]
+    taken = dict.fromkeys(sizes, 0)
+    # One scan for all languages; what passes it is bounded, so that one task may order it.
+    for r in some.repartition(1).sortWithinPartitions("lang", "draw", "id").toLocalIterator():
+        if taken[r["lang"]] < documents:
+            taken[r["lang"]] += 1
+            c = counts[r["lang"]]
             for w in words(r["text"]):
                 c[w] = c.get(w, 0.0) + 1
     return sorted(counts), pieces, fit(counts, pieces)
@@ -195,6 +221,7 @@ def predicted(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "t
         if _local.get("key") != key:
             _local.update(key=key, scorer=Scorer(*shared.value))
         scorer = _local["scorer"]
+        scorer.rows.focus()
         for b in batches:
             texts = b.column(1).to_pylist()
             got = [x for lo, hi in slices([len(t or "") for t in texts], 1 << 20) for x in scorer.predict(texts[lo:hi])]
