@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sentencepiece_bpe
-from ._shared import tokenizer_path, written
+from ._shared import sweep, tokenizer_path, written
 
 #: Of the broadcast counts: at most so many pretokens of at most so many characters.
 FREQUENT, LONGEST = 65_536, 48
@@ -51,6 +51,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     Each row gives a row, repeated and null ids too; other columns are not read.
     """
     path = model_file or tokenizer_path("piece_bpe_32k.model")
+    spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     pair = pa.schema([("piece", pa.string()), ("n", pa.int64())])
 
@@ -72,7 +73,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     distinct = rows.select("text").mapInArrow(corpus, "piece string, n long").where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
     distinct = written(distinct.mapInArrow(pieces, "piece string, n long, k int"), "pretokens")
     frequent = {r[0]: r[1] for r in distinct.where(F.length("piece") <= LONGEST).orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", "k").collect()}
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    known = spark.sparkContext.broadcast(frequent)
+    sweep(spark)
     out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("rest", pa.map_(pa.string(), pa.int32()))])
 
     def frequencies(batches):
