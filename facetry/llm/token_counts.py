@@ -45,6 +45,22 @@ def piece_counts(parts: list[str], path: str) -> list[int]:
     return [1 if p == " " else len(g) - 2 * (not s) for p, s, g in zip(parts, spaced, got)]
 
 
+def _frequent(distinct: DataFrame, most: int):
+    """A condition that at most `most` of the short pretokens meet: a count at or above a step of a sixteenth of an octave.
+
+    The steps' sizes are a table of at most a thousand rows; only what meets the condition ever leaves the executors.
+    """
+    step, short = F.floor(F.log2("n") * 16), F.length("piece") <= LONGEST
+    steps = distinct.where(short).groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect()
+    lowest, total = 1 << 20, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["m"]
+        if total > most:
+            break
+        lowest = r["step"]
+    return short & (step >= lowest)
+
+
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every text as the library splits it; a null text counts as empty: 0 and 0.
 
@@ -72,7 +88,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     distinct = rows.select("text").mapInArrow(corpus, "piece string, n long").where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
     distinct = written(distinct.mapInArrow(pieces, "piece string, n long, k int"), "pretokens")
-    frequent = {r[0]: r[1] for r in distinct.where(F.length("piece") <= LONGEST).orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", "k").collect()}
+    frequent = {r[0]: r[1] for r in distinct.where(_frequent(distinct, FREQUENT)).select("piece", "k").collect()}
     known = spark.sparkContext.broadcast(frequent)
     sweep(spark)
     out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("rest", pa.map_(pa.string(), pa.int32()))])
