@@ -133,9 +133,9 @@ def mismatches(a: DataFrame, b: DataFrame, same_shape: bool = True) -> DataFrame
     return j.where(~F.col("h1").eqNullSafe(F.col("h2"))).select("chunk")
 
 
-def valid(chunks: DataFrame, reference: DataFrame) -> DataFrame:
-    """The chunks whose hash is that of the reference."""
-    return chunks.join(reference.select("chunk", "hash"), ["chunk", "hash"], "left_semi")
+def valid(chunks: DataFrame, expected: DataFrame) -> DataFrame:
+    """The chunks whose hash is the expected one."""
+    return chunks.join(expected.select("chunk", "hash"), ["chunk", "hash"], "left_semi")
 
 
 def path_to_root(nodes: list[bytes], leaf: int) -> list[tuple[int, bytes]]:
