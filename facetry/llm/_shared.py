@@ -69,6 +69,13 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def small(batches, rows: int = 1024):
+    """Arrow batches in slices of at most `rows` rows, so that what a worker holds of long texts as objects stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class Memo(dict):
     """A bounded two-generation cache: what is used stays, what isn't used for a generation goes.
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import small
+
 #: Pages that the weights are fitted on, at most, and the most characters of one of them.
 LABELLED, CHARACTERS = 1_000, 200_000
 
@@ -215,7 +217,7 @@ def learned(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     schema = pa.schema([("kind", pa.string()), ("name", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])
 
     def count(batches):
-        for b in batches:
+        for b in small(batches):
             c = sum((observed(x) for x in b.column(0).to_pylist()), Counter())
             yield pa.record_batch([pa.array([f(k, n) for k, n in c.items()], t.type) for f, t in zip((lambda k, n: k[0], lambda k, n: k[1], lambda k, n: k[2], lambda k, n: n), schema)], schema=schema)
 
@@ -234,7 +236,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = [extract(x, weights) for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], schema=schema)
 

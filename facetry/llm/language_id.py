@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Memo, slices, tokenizer_path
+from ._shared import Memo, slices, small, tokenizer_path
 
 #: Training sample: at most so many documents of a language, each of at most so many characters, taken whole; rounds of fitting.
 DOCUMENTS, CHARACTERS, ROUNDS = 300, 20_000, 3
@@ -222,7 +222,7 @@ def predicted(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "t
             _local.update(key=key, scorer=Scorer(*shared.value))
         scorer = _local["scorer"]
         scorer.rows.focus()
-        for b in batches:
+        for b in small(batches):
             texts = b.column(1).to_pylist()
             got = [x for lo, hi in slices([len(t or "") for t in texts], 1 << 20) for x in scorer.predict(texts[lo:hi])]
             yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import release, slices, sweep, written
+from ._shared import release, slices, small, sweep, written
 from ._words import Words, mix
 from .components import components
 
@@ -90,7 +90,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
                 values, owner = shingle_sets(texts[lo:hi], size)
@@ -113,7 +113,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
                 values, owner = shingle_sets(texts[lo:hi], size)
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches):
-        for b in batches:
+        for b in small(batches):
             keep = pa.array([similar(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
 

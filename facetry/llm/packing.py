@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from ._shared import tokenizer_path, written
+from ._shared import small, tokenizer_path, written
 
 CAPACITY = 1024
 #: Documents whose ranks one task gives, about.
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         model = byte_bpe.load(path)
         model.memo.focus()
         encode = model.ids
-        for batch in batches:
+        for batch in small(batches):
             out = [[] for _ in schema]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = memoryview(encode(t) + end)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import release, slices, sweep, written
+from ._shared import release, slices, small, sweep, written
 from ._words import Words
 
 #: Words of a window, and of the phrase that stands for it: long enough that unrelated texts hardly share one.
@@ -50,7 +50,7 @@ def _scanned(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("words_sha256", pa.string()), ("phrases", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], SHARD):
                 some = texts[lo:hi]
@@ -93,7 +93,7 @@ def _occurrences(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, texts, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi in slices([len(t) for t in texts], SHARD):
                 w = Words(texts[lo:hi], lower=False)
@@ -122,7 +122,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = [[] for _ in range(4)]
             texts, starts, hashes, gone = (batch.column(i) for i in range(1, 5))
             for i, text in enumerate(texts.to_pylist()):

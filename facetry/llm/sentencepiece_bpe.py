@@ -16,7 +16,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from ._shared import Memo, slices, tokenizer_path
+from ._shared import Memo, slices, small, tokenizer_path
 
 SPACE = "▁"
 UNKNOWN = -1
@@ -197,7 +197,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches):
         table = load(model_file)
-        for b in batches:
+        for b in small(batches):
             ids = [table.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(ids, schema.field(1).type), pa.array([table.decode(x) for x in ids], pa.string())], schema=schema)
 
@@ -221,7 +221,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
         store = table.__dict__.setdefault("memo", Memo(memo, part)).focus()
 
-        for b in batches:
+        for b in small(batches):
             texts = b.column(1).to_pylist()
             count, sha, back = [], [], []
             for t in texts:

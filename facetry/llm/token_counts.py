@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sentencepiece_bpe
-from ._shared import sweep, tokenizer_path, written
+from ._shared import small, sweep, tokenizer_path, written
 
 #: Of the broadcast counts: at most so many pretokens of at most so many characters.
 FREQUENT, LONGEST = 65_536, 48
@@ -73,7 +73,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def corpus(batches):
         split, held = sentencepiece_bpe.load(path).pretokens, Counter()
-        for b in batches:
+        for b in small(batches):
             for t in b.column(0).to_pylist():
                 held.update(split(t or ""))
                 if len(held) > HELD:
@@ -83,7 +83,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def pieces(batches):
         schema = pa.schema([*pair, ("k", pa.int32())])
-        for b in batches:
+        for b in small(batches):
             yield pa.record_batch([*b.columns, pa.array(piece_counts(b.column(0).to_pylist(), path), pa.int32())], schema=schema)
 
     distinct = rows.select("text").mapInArrow(corpus, "piece string, n long").where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -96,7 +96,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def frequencies(batches):
         split, get = sentencepiece_bpe.load(path).pretokens, known.value.get
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in small(batches):
             sizes, base, rest = [], [], []
             for t in b.column(1).to_pylist():
                 t = t or ""
