@@ -38,3 +38,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["knn_exact", "knn_expression", "knn_filtered", "knn_predicated", "knn_verify_recall", "neighbor_dereference", "verify_profiles"])
+def test_every_twentieth_row_is_answered(spark, name):
+    got = registry.QUERIES[f"{name}_20"](spark, SF).select("query").distinct().toPandas()
+    assert sorted(got["query"]) == list(range(0, 500, 20))
+
+
+def test_entry_answers_every_twentieth_row(spark):
+    import __spark_entry__ as e
+
+    assert sorted(r["query"] for r in e.entry(spark).select("query").distinct().collect()) == list(range(0, 500, 20))
