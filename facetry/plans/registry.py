@@ -444,6 +444,12 @@ def chunk_hashes(spark, sf_dir):
     return integrity.content_chunks(docs, "doc_id", "text", 1024)
 
 
+@query()
+def chunk_hashes_all(spark, sf_dir):
+    """Chunk hashes of all texts by bytes; a chunk may end within a character, which SQL's text functions can't cut."""
+    return integrity.content_chunks(_table(spark, sf_dir, "documents"), "doc_id", "text", 1024)
+
+
 @query()
 def chunk_hash_root(spark, sf_dir):
     """The Merkle root over the documents' own hashes, a leaf for each document."""

@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import glob
+import hashlib
 import os
 
 import pytest
@@ -50,3 +51,11 @@ def test_entry_answers_every_twentieth_row(spark):
     import __spark_entry__ as e
 
     assert sorted(r["query"] for r in e.entry(spark).select("query").distinct().collect()) == list(range(0, 500, 20))
+
+
+def test_chunk_hashes_of_all_texts(spark):
+    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = {(d, c, c * 1024, min((c + 1) * 1024, len(b)), hashlib.sha256(b[c * 1024 : (c + 1) * 1024]).hexdigest()) for d, b in docs for c in range(-(-len(b) // 1024))}
+    got = registry.QUERIES["chunk_hashes_all"](spark, SF).select("doc_id", "chunk", "start", "end", "hash").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert any(not b.isascii() for _, b in docs) and {r["doc_id"] for r in got} == {d for d, b in docs if b}
