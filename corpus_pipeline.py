@@ -12,6 +12,8 @@ from facetry.llm._shared import written
 
 #: Documents whose best language is less sure than this go; a text of any one language is far above it.
 LEAST_SCORE = 0.3
+#: Documents of this similarity or more are near-duplicates here; the query op3 has a bound of its own.
+PERCENT = 80
 
 
 def _columns(df):
@@ -39,7 +41,7 @@ def detect_language(spark, docs, sf_dir):
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Keeps of each group of near-duplicates the document of the smallest id."""
-    return _without(docs, near_duplicates.near_duplicates(docs).select("doc_id", "kept"))
+    return _without(docs, near_duplicates.near_duplicates(docs, percent=PERCENT).select("doc_id", "kept"))
 
 
 def cut_repeats(spark, docs, sf_dir):

@@ -286,6 +286,13 @@ def test_op3_odd_ids(spark):
     assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter([(9, 3, False), (3, 3, True), (3, 3, True), (None, None, True), (5, 5, True)])
 
 
+def test_bands_follow_the_similarity():
+    assert [near_duplicates.banding(p) for p in (85, 80, 50)] == [(16, 4), (22, 4), (41, 2)]
+    for p in (10, 30, 50, 70, 80, 90, 99, 100):
+        bands, rows = near_duplicates.banding(p)
+        assert (1 - (p / 100) ** rows) ** bands <= 1e-5 and bands * rows <= 128
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
