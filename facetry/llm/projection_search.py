@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .topk_search import QUERIES, SEGMENT, dealt, usable
 
 DIRECTIONS, LEAF, CONFIDENCE, SEED = 8, 32, 0.98, 20240601
+#: Squared distances that rounding may add: equal rows lie in several leaves, and all of those are visited.
+ROUNDING = 1e-9
 
 
 def chi_square_quantile(confidence: float, degrees: int) -> float:
@@ -79,10 +81,11 @@ def search_segment(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries:
         best_ids, best = np.empty(0, np.int64), np.empty(0)
         for b in np.argsort(far, kind="stable"):
             # Squared distance of unit vectors at cosine c: 2 - 2c. Rows that near would be closer in projection.
-            if len(best) == k and far[b] >= stop * max(0.0, 2 - 2 * best[-1]):
+            if len(best) == k and far[b] > stop * max(0.0, 2 - 2 * best[-1]) + ROUNDING:
                 break
             s = slice(tree.starts[b], tree.starts[b + 1])
-            got, of = rows[s] @ vector / (norms[s] * length), ids[s]
+            # Summed row by row: a matrix product rounds equal rows differently by their place in it.
+            got, of = (rows[s] * vector).sum(1) / (norms[s] * length), ids[s]
             use = of != q
             if len(best) == k:
                 use &= got >= best[-1]

@@ -513,6 +513,20 @@ def test_op1(spark):
     assert projection_search.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0, 5).count() == 2
 
 
+def test_op1_many_copies():
+    """Groups of some hundred equal vectors: the copies of the smallest ids, from whatever leaf."""
+    rng = np.random.default_rng(11)
+    kinds = rng.standard_normal((4, 64)).astype(np.float32).astype(float)
+    rows = np.concatenate([np.repeat(kinds, [300, 40, 500, 1], axis=0), rng.standard_normal((200, 64))])
+    ids = rng.permutation(len(rows)).astype(np.int64)
+    at = np.r_[0:300:30, 300:340:10, 340:840:50]
+    q, found, score = projection_search.search_segment(ids, rows, ids[at], rows[at], 5)
+    for i in at:
+        same = ids[(rows == rows[i]).all(1)]
+        assert found[q == ids[i]].tolist() == np.sort(same[same != ids[i]])[:5].tolist()
+        assert np.ptp(score[q == ids[i]]) == 0
+
+
 def test_recall_on_the_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = df.toPandas()
