@@ -46,8 +46,9 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def cut_repeats(spark, docs, sf_dir):
     """Takes passages that repeat a document of a smaller id out of the texts; documents of which nothing is left go."""
-    found = repeated_passages.without_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_cut"])
-    joined = docs.join(found, F.col("doc_id") == F.col("_cut"), "left")
+    found = repeated_passages.without_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.col("text_key").alias("_key"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_cut", "_key"])
+    # Rows of one id may have different texts: each is cut as its own text is.
+    joined = docs.join(found, (F.col("doc_id") == F.col("_cut")) & (repeated_passages.text_key(F.col("text")) == F.col("_key")), "left")
     changed = {"text": F.when(F.col("_removed").isNotNull(), F.col("_kept")).otherwise(F.col("text"))}
     changed["n_chars"] = F.when(F.col("_removed").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
     return joined.where("_removed is null or _kept <> ''").select([changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

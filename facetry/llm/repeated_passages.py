@@ -28,6 +28,15 @@ SHARD = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def text_key(text):
+    """The digest of a text column that tells rows of one id apart: the first 16 bytes of the SHA-256; null as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _key(raw: bytes) -> bytes:
+    return hashlib.sha256(raw).digest()[:16]
+
+
 def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
     """The least of `size` consecutive values, from each place on where so many are left."""
     n = len(values) - size + 1
@@ -59,7 +68,7 @@ def _scanned(rows: DataFrame, window: int, phrase: int) -> DataFrame:
                 phrases = [np.unique(least[_windows(w, i, window)]).view(np.int64) for i in range(len(some))]
                 raw = [(t or "").encode() for t in some]
                 yield pa.record_batch([
-                    ids.slice(lo, hi - lo), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(np.diff(w.firsts), pa.int64()),
+                    ids.slice(lo, hi - lo), pa.array([_key(r) for r in raw], pa.binary()), pa.array(np.diff(w.firsts), pa.int64()),
                     pa.array([hashlib.sha256(b" ".join(r.split())).hexdigest() for r in raw]), pa.array(phrases, schema.field(4).type),
                 ], schema=schema)
 
@@ -135,7 +144,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                 np.add.at(step, at + window, -1)
                 stays = np.cumsum(step[:-1]) == 0
                 kept = b" ".join([x for x, s in zip(words, stays.tolist()) if s])
-                for column, v in zip(out, (hashlib.blake2b(raw, digest_size=16).digest(), int((~stays).sum()), kept.decode(), hashlib.sha256(kept).hexdigest())):
+                for column, v in zip(out, (_key(raw), int((~stays).sum()), kept.decode(), hashlib.sha256(kept).hexdigest())):
                     column.append(v)
             yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:]))], schema=schema)
 
@@ -166,7 +175,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Each row gives a row. Words are `[^\\x20\\x09-\\x0D]+` of the whole text (null: none); windows are judged on the
     input. `kept` is the kept words joined by one space, or null where all are kept; kept_sha256 is the SHA-256 of the
-    kept words joined by one space in either case. text_key (a digest of the text) tells rows of one id apart; such rows
+    kept words joined by one space in either case. text_key (that of text_key()) tells rows of one id apart; such rows
     never repeat each other. A row with a null id is left whole and is nobody's source. Other columns are not read.
     """
     if not 0 < phrase <= window:

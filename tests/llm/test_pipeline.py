@@ -82,3 +82,12 @@ def test_near_duplicates_from_80_percent(spark):
     changed = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(words))
     docs = spark.createDataFrame([(1, changed()), (2, changed(20)), (3, changed(10, 30))], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == {1, 3}
+
+
+def test_two_texts_of_one_id_are_cut_each_by_itself(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    repeat, clean, part = words("r", 20), words("cé", 20), words("p", 15)
+    docs = spark.createDataFrame([(1, repeat), (2, repeat), (2, clean), (3, part + " " + repeat), (3, None), (3, part)], "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = sorted((r["doc_id"], r["text"] or "", r["n_chars"] or 0) for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect())
+    want = [(1, repeat), (2, clean), (3, ""), (3, part), (3, part)]
+    assert got == [(i, t, len(t)) for i, t in want]
