@@ -152,46 +152,93 @@ FAMILIES = ("normal", "uniform", "exponential", "laplace", "logistic", "lognorma
 KNOTS = 33
 
 
-def _fits(x: np.ndarray):
-    """(family, parameters, distribution function) of each family that can hold the sample."""
-    mean, sd = float(x.mean()), float(x.std())
-    lo, hi, med = float(x.min()), float(x.max()), float(np.median(x))
+def _fits(of: dict):
+    """(family, parameters, distribution function) of each family that can hold values with these measures."""
     from math import erf
 
-    phi = np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)))
-    if sd > 0:
-        yield "normal", (mean, sd), phi((x - mean) / sd)
-        yield "uniform", (lo, hi), (x - lo) / (hi - lo)
+    mean, sd, lo, hi, med = of["mean"], of["sd"], of["lo"], of["hi"], of["knots"][KNOTS // 2]
+    phi = np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)), otypes=[float])
+    if hi > lo and sd > 0:
+        yield "normal", (mean, sd), lambda x: phi((x - mean) / sd)
+        yield "uniform", (lo, hi), lambda x: (x - lo) / (hi - lo)
         s = sd * 3**0.5 / np.pi
-        yield "logistic", (mean, s), 1 / (1 + np.exp(-(x - mean) / s))
-        scale = float(np.abs(x - med).mean()) or sd
-        z = (x - med) / scale
-        yield "laplace", (med, scale), np.where(z < 0, 0.5 * np.exp(np.minimum(z, 0)), 1 - 0.5 * np.exp(-np.maximum(z, 0)))
-        if mean > lo:
-            yield "exponential", (lo, mean - lo), 1 - np.exp(-(x - lo) / (mean - lo))
-        if lo > 0 and np.log(x).std() > 0:
-            m, s = float(np.log(x).mean()), float(np.log(x).std())
-            yield "lognormal", (m, s), phi((np.log(x) - m) / s)
+        yield "logistic", (mean, s), lambda x: 1 / (1 + np.exp(-(x - mean) / s))
+        scale = of["gap"] or sd
 
+        def laplace(x):
+            z = (x - med) / scale
+            return np.where(z < 0, 0.5 * np.exp(np.minimum(z, 0)), 1 - 0.5 * np.exp(-np.maximum(z, 0)))
 
-def fit_models(facet: DataFrame, value: str = "vector", limit: float = 0.05, rows: int = 100_000, seed: int = 42) -> DataFrame:
+        yield "laplace", (med, scale), laplace
+        if mean > lo:
+            yield "exponential", (lo, mean - lo), lambda x: 1 - np.exp(-(x - lo) / (mean - lo))
+        if lo > 0 and of["log_sd"]:
+            m, t = of["log_mean"], of["log_sd"]
+            yield "lognormal", (m, t), lambda x: phi((np.log(x) - m) / t)
+
+
+def _knots(steps: DataFrame) -> DataFrame:
+    """(dim, knots): the quantiles at 0, 1 / 32 ... 1, between two values in proportion; steps: (dim, x, c, r, n)."""
+    last = KNOTS - 1
+    low = lambda j: F.floor((F.col("n") - 1) * j / last)
+    high = lambda j: F.least(low(j) + 1, F.col("n") - 1)
+    here = lambda at: (at >= F.col("r") - F.col("c")) & (at < F.col("r"))
+    some = steps.withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.lit(last)), lambda j: here(low(j)) | here(high(j)))))
+    j = F.col("j")
+    ends = some.groupBy("dim", "n", "j").agg(F.max(F.when(here(low(j)), F.col("x"))).alias("a"), F.max(F.when(here(high(j)), F.col("x"))).alias("b"))
+    x = F.col("a") + (F.col("b") - F.col("a")) * ((F.col("n") - 1) * j / last - low(j))
+    return ends.groupBy("dim").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", x.alias("x")))), lambda k: k.x).alias("knots"))
+
+
+def fit_models(facet: DataFrame, value: str = "vector", limit: float = 0.05) -> DataFrame:
     """(dim, family, parameters, distance): the family nearest to each dimension by its largest distance of distribution
     functions; the empirical one, as quantiles, where none is within `limit`.
 
-    A dimension is fitted on at most `rows` values, taken by a hash of the ordinal: what a task holds is bounded.
+    All values count, whatever the table's size: the distance is taken over the counts of distinct values, with their
+    running sums in one window for each dimension. A few numbers for each dimension come to the driver.
     """
-    n = facet.count()
-    some = facet if n <= rows else facet.where(F.pmod(F.xxhash64("ordinal", F.lit(seed)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["x"].dropna().to_numpy())
-        at = np.arange(1, len(x) + 1) / max(1, len(x))
-        best = min(((float(np.max(np.maximum(np.abs(f - at), np.abs(f - at + 1 / len(x))))), name, p) for name, p, f in _fits(x)), default=(1.0, "empirical", ())) if len(x) else (1.0, "empirical", ())
-        if best[0] > limit and len(x):
-            best = (0.0, "empirical", tuple(np.quantile(x, np.linspace(0, 1, KNOTS))))
-        return pd.DataFrame({"dim": [pdf["dim"].iat[0]], "family": [best[1]], "parameters": [list(best[2])], "distance": [best[0]]})
-
-    return components(some, value).groupBy("dim").applyInPandas(run, "dim int, family string, parameters array<double>, distance double")
+    spark, cells = facet.sparkSession, components(facet, value)
+    dims = [r["dim"] for r in cells.select("dim").distinct().collect()]
+    held = cells.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    log = F.when(F.col("x") > 0, F.ln("x"))
+    measures = held.groupBy("dim").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.avg(log).alias("log_mean"), F.stddev_pop(log).alias("log_sd"),
+    )
+    of = {r["dim"]: r.asDict() for r in measures.collect()}
+    w = Window.partitionBy("dim")
+    steps = held.groupBy("dim", "x").agg(F.count("*").alias("c")).select("dim", "x", "c", F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("r"), F.sum("c").over(w).alias("n"))
+    for r in _knots(steps).collect():
+        of[r["dim"]]["knots"] = r["knots"]
+    if of:
+        medians = spark.createDataFrame([(d, m["knots"][KNOTS // 2]) for d, m in of.items()], "dim int, med double")
+        for r in held.join(F.broadcast(medians), "dim").groupBy("dim").agg(F.avg(F.abs(F.col("x") - F.col("med"))).alias("gap")).collect():
+            of[r["dim"]]["gap"] = r["gap"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for d, part in pdf.groupby("dim"):
+                x, upper = part["x"].to_numpy(), (part["r"] / part["n"]).to_numpy()
+                lower = ((part["r"] - part["c"]) / part["n"]).to_numpy()
+                for name, _, f in _fits(of[d]):
+                    at = f(x)
+                    out.append((d, name, float(np.max(np.maximum(np.abs(at - upper), np.abs(at - lower))))))
+            yield pd.DataFrame(out, columns=["dim", "family", "distance"])
+
+    apart: dict = {}
+    for r in steps.mapInPandas(run, "dim int, family string, distance double").groupBy("dim", "family").agg(F.max("distance").alias("distance")).collect():
+        apart.setdefault(r["dim"], []).append((r["distance"], r["family"]))
+    models = []
+    for d in dims:
+        distance, family = min(apart.get(d, []), default=(1.0, "empirical"))
+        if d not in of:
+            models.append((d, "empirical", [], 1.0))
+        elif distance > limit:
+            models.append((d, "empirical", of[d]["knots"], 0.0))
+        else:
+            models.append((d, family, [float(p) for name, ps, _ in _fits(of[d]) if name == family for p in ps], distance))
+    return spark.createDataFrame(models, "dim int, family string, parameters array<double>, distance double")
 
 
 def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:

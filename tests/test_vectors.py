@@ -155,3 +155,16 @@ def test_models(spark):
     made = S.dimension_stats(G.from_models(spark, fitted, 4000)).orderBy("dim").collect()
     assert made[0]["mean"] == pytest.approx(3, abs=0.2) and -1.001 <= made[1]["lo"] < made[1]["hi"] <= 1.001
     assert S.compare_models(fitted, fitted).where("same_family and drift = 0").count() == 2
+
+
+def test_models_take_all_values(spark):
+    n, p = 110_000, 110_003
+    x = np.sort(np.arange(n) * 7919 % p / p)
+    column = F.array((F.col("id") * 7919 % p) / float(p), F.lit(None).cast("double"), F.when(F.col("id") < n // 4, 5.0).otherwise(F.col("id") % 4))
+    got = {r["dim"]: r for r in S.fit_models(spark.range(n).select(F.col("id").alias("ordinal"), column.alias("vector"))).collect()}
+    at = (x - x[0]) / (x[-1] - x[0])
+    most = max(np.abs(at - np.arange(1, n + 1) / n).max(), np.abs(at - np.arange(n) / n).max())
+    assert got[0]["family"] == "uniform" and got[0]["parameters"] == [x[0], x[-1]] and got[0]["distance"] == pytest.approx(most, abs=1e-12)
+    assert (got[1]["family"], got[1]["parameters"], got[1]["distance"]) == ("empirical", [], 1.0)
+    ids = np.arange(n)
+    assert got[2]["parameters"] == pytest.approx(np.quantile(np.where(ids < n // 4, 5, ids % 4), np.linspace(0, 1, S.KNOTS)).tolist())
