@@ -1,9 +1,9 @@
 """Substring dedup (operator 4): repeated-phrase automata.
 
 A window is 13 consecutive words. Each window names one phrase in it, the seven words of least hash, so equal windows name
-equal phrases. Phrases that windows of two different texts name are confirmed as recurring; the documents that hold
-some are dealt into shards, each shard's phrases are compiled into an Aho-Corasick automaton over words, and streaming
-the shard's documents through it locates every occurrence. The windows around the occurrences are confirmed on all 13
+equal phrases. Phrases that windows of two different texts name are confirmed as recurring; a join on their hashes names
+the documents that hold some, and in each slice of those the hashes locate the phrases. An Aho-Corasick automaton over
+words, compiled from the phrases at these places, goes over the slice and gives every occurrence again. The windows around the occurrences are confirmed on all 13
 words, with the smallest document that holds each.
 """
 
