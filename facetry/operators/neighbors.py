@@ -113,16 +113,18 @@ def verify(found: DataFrame, stored: DataFrame, phi: float = 0.001, k: int | Non
 def verify_profiles(base: DataFrame, queries: DataFrame, sizes: dict[str, int], k: int, metric: str | None = None, digits: int | None = None) -> DataFrame:
     """Exact neighbours for several base counts: (profile, query, rank, ordinal, distance), one distance per pair.
 
-    The profiles' rows are prefixes of one another: all candidates come from one pass over the pairs.
+    The profiles' rows are prefixes of one another: each slice from one size to the next is searched once by knn(), and
+    a profile's neighbours are the nearest of those of its slices.
     """
     steps = sorted(sizes.items(), key=lambda x: x[1])
-    d = distances.distance(F.col("q_vector"), F.col("vector"), metric)
-    q = queries.select(F.col("ordinal").alias("query"), F.col("vector").alias("q_vector"))
-    pairs = base.where(F.col("ordinal") < steps[-1][1]).select("ordinal", "vector").crossJoin(F.broadcast(q) if queries.count() <= CHUNK else q)
-    pairs = pairs.select("query", "ordinal", (d if digits is None else F.round(d, digits)).alias("distance"))
+    found, low = None, None
+    for high in sorted(set(sizes.values())):
+        part = base.where(F.col("ordinal") < high) if low is None else base.where((F.col("ordinal") >= low) & (F.col("ordinal") < high))
+        some = knn(part, queries, k, metric, digits).select("query", "ordinal", "distance")
+        found, low = some if found is None else found.unionByName(some), high
     named = F.explode(F.array_compact(F.array(*[F.when(F.col("ordinal") < n, F.lit(name)) for name, n in steps])))
     rank = F.row_number().over(Window.partitionBy("profile", "query").orderBy("distance", "ordinal"))
-    out = pairs.withColumn("profile", named).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    out = found.withColumn("profile", named).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
     return out.select("profile", "query", "rank", "ordinal", "distance")
 
 

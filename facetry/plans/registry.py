@@ -245,6 +245,17 @@ def neighbor_dereference(spark, sf_dir, every=50):
     return neighbors.dereference(facet, base).select("query", "rank", "ordinal", F.round(F.col("vector")[0].cast("double"), DIGITS).alias("x"))
 
 
+_SHARES = (("quarter", 4), ("half", 2), ("whole", 1))
+
+
+@query(" union all ".join(f"select '{name}' profile, * from ({_FOUND_SQL.format(on=f'b.vec_id % 20 = 0 and a.vec_id < (select max(vec_id) + 1 from embeddings) // {part}', k=3)})" for name, part in _SHARES))
+def verify_profiles_whole(spark, sf_dir):
+    """Profiles of a quarter, half and all of the base, whatever its size."""
+    base = _base(spark, sf_dir)
+    n = (base.agg(F.max("ordinal")).first()[0] or 0) + 1
+    return neighbors.verify_profiles(base, _query_vectors(base, 20), {name: n // part for name, part in _SHARES}, 3, "L2", DIGITS)
+
+
 # The same searches with every twentieth row as a query. The names above keep every fiftieth, which their SQL states.
 for _f in (knn_exact, knn_expression, knn_filtered, knn_predicated, knn_verify_recall, knn_hubness, verify_profiles, neighbor_dereference):
     QUERIES[f"{_f.__name__}_20"] = partial(_f, every=20)

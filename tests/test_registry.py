@@ -59,3 +59,9 @@ def test_chunk_hashes_of_all_texts(spark):
     got = registry.QUERIES["chunk_hashes_all"](spark, SF).select("doc_id", "chunk", "start", "end", "hash").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert any(not b.isascii() for _, b in docs) and {r["doc_id"] for r in got} == {d for d, b in docs if b}
+
+
+def test_a_profile_covers_the_whole_base(spark):
+    got = registry.QUERIES["verify_profiles_whole"](spark, SF).toPandas()
+    assert set(got["profile"]) == {"quarter", "half", "whole"}
+    assert got[got["profile"] == "whole"]["ordinal"].max() >= 400 and got[got["profile"] == "half"]["ordinal"].max() < 250
