@@ -1,89 +1,112 @@
 """Exact top-k inner products (operator 10) by block-at-a-time pruning.
 
-Candidates lie in blocks of neighbouring ids. A block keeps, for each dimension (a term), its largest and smallest
-value; a query's bound for a block is the sum of the larger product over its terms. Each query takes the blocks in
-descending order of bounds and scores whole blocks through their forward index, the rows' values, until the next bound
-is below its k-th score. Every score at or above the k-th is found: the result is exact.
+The rows of a segment are ordered so that alike ones are neighbours, and numbered in that order; a block is a range of
+those numbers. It keeps, for each dimension (a term), its largest and smallest value; a query's bound for a block is the
+sum of the larger product over its terms. Each query takes the blocks in descending order of bounds and scores whole
+blocks through their forward index, the rows' values, until the next bound is below its k-th score, which starts at the
+k-th score of a sample of rows. Every score at or above the k-th is found: the result is exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-BLOCK = 64
-#: Rows of candidates and of queries that one task holds.
-SEGMENT, QUERIES = 16_384, 2_048
-
-
-def search_segment(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, block: int = BLOCK):
-    """The k best of `rows` for each query, its own id left out: (query, id, score) arrays; integer arithmetic."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
-    starts = np.arange(0, len(ids), block)
-    high, low = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
-    exact = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1] < 2.0**53
-    kind = np.float64 if exact else np.int64  # sums below 2^53 are exact in double precision
-    rows, high, low, queries = (x.astype(kind) for x in (rows, high, low, queries))
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    out = []
-    for q, vector, bound in zip(qids, queries, bounds):
-        best_ids, best = np.empty(0, np.int64), np.empty(0, kind)
-        for b in np.argsort(-bound, kind="stable"):
-            if len(best) == k and bound[b] < best[-1]:
-                break
-            s = slice(starts[b], starts[b] + block)
-            got, of = rows[s] @ vector, ids[s]
-            use = of != q
-            if len(best) == k:
-                use &= got >= best[-1]
-            if use.any():
-                best, best_ids = np.r_[best, got[use]], np.r_[best_ids, of[use]]
-                top = np.lexsort((best_ids, -best))[:k]
-                best, best_ids = best[top], best_ids[top]
-        out.append((np.full(len(best), q), best_ids, best.astype(np.int64)))
-    return [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else ([], [], []))]
-
-
-def usable(column):
-    """An array column without null or non-finite components."""
-    return column.isNotNull() & (F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-
-
-def dealt(base: DataFrame, queries: DataFrame, segment: int, chunk: int):
-    """Candidates and queries cogrouped so that a task holds about `segment` candidates and `chunk` queries.
-
-    base, queries: (id long, vector). Every query meets every segment: the stated query set goes against all rows in
-    blocks; both sides of a task are bounded, whatever the table's size. No id decides more than its own place.
-    """
-    n, m = base.count(), queries.count()
-    segments, chunks = max(1, -(-n // segment)), max(1, -(-m // chunk))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = base.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int")).withColumn("chunk", every(chunks))
-    right = queries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("int")).withColumn("segment", every(segments))
-    return left.groupBy("segment", "chunk").cogroup(right.groupBy("segment", "chunk"))
-
-
-def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
+from pyspark.sql import DataFrame
+
+from ._segments import SEGMENT, answered, best_of, prepared, usable
+
+BLOCK = 32
+SCALE = 1024
+
+
+def alike(rows: np.ndarray, size: int) -> list[np.ndarray]:
+    """The numbers of `rows` in blocks of at most `size`, halved again and again across the direction of most spread."""
+    blocks, todo = [], [np.arange(len(rows))]
+    start = np.random.default_rng(1).standard_normal(rows.shape[1])
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            blocks.append(at)
+            continue
+        centred = rows[at] - rows[at].mean(0)
+        way = start
+        for _ in range(4):
+            way = centred.T @ (centred @ way)
+            length = np.sqrt(way @ way)
+            way = way / length if length > 0 else start
+        half = -(-(len(at) // 2) // size) * size if len(at) > 2 * size else size
+        order = np.argsort(centred @ way, kind="stable")
+        todo += [at[order[half:]], at[order[:half]]]
+    return blocks
+
+
+class Blocks:
+    """A segment's blocks with their bounds and forward indexes; integers, in doubles where sums are exact in those."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK):
+        order = alike(rows, block)
+        # All blocks but one are full; that one is filled up with rows that are never answered.
+        at = np.concatenate([np.r_[b, np.repeat(b[:1], block - len(b))] for b in order])
+        self.live = np.concatenate([np.arange(block) < len(b) for b in order]).reshape(-1, block)
+        self.k, self.ids, self.rows = k, ids[at].reshape(-1, block), rows[at].reshape(-1, block, rows.shape[1])
+        self.high, self.low = self.rows.max(1), self.rows.min(1)
+        self.most = float(np.abs(rows).max(initial=0)) * rows.shape[1]
+        self.scored = self.passed = 0
+
+    def search(self, qids: np.ndarray, queries: np.ndarray, floors: np.ndarray):
+        """(query, id, score) arrays of the k best rows for each query whose score reaches the query's floor."""
+        most = self.most * float(np.abs(queries).max(initial=0))
+        if most >= 2.0**63:
+            raise OverflowError("scores of these vectors don't fit 64 bits")
+        kind = np.float64 if most < 2.0**53 else object
+        whole = (lambda x: x) if kind is np.float64 else np.vectorize(int, otypes=[object])
+        rows, high, low, queries = whole(self.rows), whole(self.high), whole(self.low), whole(queries)
+        bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+        out = []
+        for q, vector, bound, floor in zip(qids, queries, bounds, floors):
+            best_ids, best = np.empty(0, np.int64), np.empty(0, kind)
+            order = np.argsort(-bound, kind="stable")
+            done, step = 0, 4
+            while done < len(order):
+                least = max(floor, best[-1]) if len(best) == self.k else floor
+                turn = order[done : done + step]
+                # Bounds descend: what is left of a turn after the first below the threshold needs no score.
+                live = turn[(bound[turn] >= least).astype(bool)]
+                if not len(live):
+                    break
+                done, step = done + len(turn), 2 * step
+                self.scored += len(live)
+                got, of = rows[live] @ vector, self.ids[live]
+                use = self.live[live] & (of != q) & (got >= least).astype(bool)
+                if use.any():
+                    best_ids, best = np.r_[best_ids, of[use]], np.r_[best, got[use]]
+                    if kind is object:
+                        top = sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i]))[: self.k]
+                        best_ids, best = best_ids[top], best[top]
+                    else:
+                        best_ids, best = best_of(best_ids, best, self.k)
+            self.passed += len(order)
+            out.append((np.full(len(best), q, np.int64), best_ids, best.astype(np.int64)))
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
+
+
+def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that meets `query_filter` the k rows of highest integer inner product.
 
     A component x counts as floor(scale * x). Rows with a null id or vector, an empty vector, or a null or non-finite
-    component take no part; ties go to the smaller id; of repeated rows of one id each is a candidate of its own, and
-    repeated queries answer once. Vectors must have one length. An empty table gives no rows.
+    component take no part; ties go to the smaller id; of repeated rows of one id each is a candidate of its own, and of
+    repeated queries the one of the least vector answers. Where lengths differ, missing components count as 0. Scores
+    that may not fit 64 bits raise. Other columns are not read. An empty table gives no rows.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    base = rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("vector"))
-    queries = rows.where(query_filter).select(F.col(id_col).cast("long").alias("id"), whole.alias("vector")).dropDuplicates(["id"])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        q, v, s = search_segment(left["id"].to_numpy(), np.stack(left["vector"]), right["id"].to_numpy(), np.stack(right["vector"]), k, block)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    found = dealt(base, queries, segment, QUERIES).applyInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    base, queries = prepared(vectors.where(vectors[id_col].isNotNull() & usable(vectors[vector_col])), query_filter, id_col, vector_col)
+
+    def score(rows, asked):
+        # Only a floor: below 2^53 exact, beyond rounded down by more than sums in double precision are off.
+        got = np.floor(scale * rows) @ np.floor(scale * asked).T
+        most = float(np.abs(rows).max(initial=0) + 1) * float(np.abs(asked).max(initial=0) + 1) * scale * scale * rows.shape[1]
+        return got if most < 2.0**53 else got - most * 1e-9
+
+    def index(ids, rows, k):
+        blocks = Blocks(ids, np.floor(scale * rows), k, block)
+        return lambda qids, asked, floors: blocks.search(qids, np.floor(scale * asked), floors)
+
+    return answered(base, queries, k, score, index, segment, "long")

@@ -363,10 +363,21 @@ def test_op4_odd_ids(spark):
 def test_automaton_locates_phrases():
     from facetry.llm._words import Words
 
-    w = Words(["a b c d e f", "x a b c y", "b c d"], lower=False)
-    grams = w.windows(3)
-    here = repeated_passages.located(w, np.array([grams[0], grams[1]]), 3)
-    assert np.flatnonzero(here).tolist() == [0, 1, 7, 11]
+    texts = ["a b c\td e f", "x a b  c y", "b c d", "aa b c d b c", "d"]
+    w = Words([repeated_passages._spaced(t) for t in texts], lower=False)
+    here = repeated_passages.located(w, repeated_passages.automaton([b"a b c", b"b c d"]))
+    assert np.flatnonzero(here).tolist() == [0, 1, 7, 11, 15]
+    assert not repeated_passages.located(w, repeated_passages.automaton([])).any()
+
+
+def test_op4_rests_on_the_automata(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, "a " + long), (2, long + " b"), (3, long + "\n" + long)], "doc_id long, text string")
+    count = lambda: {r["doc_id"]: r["n_removed"] for r in repeated_passages.without_repeats(df).collect()}
+    assert count() == {1: 0, 2: 20, 3: 40}
+    # Without the words of the confirmed phrases the automata are empty, and nothing is located.
+    monkeypatch.setattr(repeated_passages, "_phrase_words", lambda rows, phrase: rows.selectExpr("cast(null as long) phrase", "cast(null as binary) words").limit(0))
+    assert count() == {1: 0, 2: 0, 3: 0}
 
 
 def test_sliding_least():
@@ -402,7 +413,7 @@ def test_op7(spark):
 
 def test_forward_sums_all_segmentations():
     pieces = ["a", "ab", "b", "bc", "c"]
-    p = np.vstack([np.random.default_rng(1).random((5, 2)), np.zeros((1, 2))])
+    p = np.random.default_rng(1).random((5, 2))
     s = language_id.Scorer(["x", "y"], pieces, p)
     want = {"abc": [["a", "b", "c"], ["ab", "c"], ["a", "bc"]], "ab": [["a", "b"], ["ab"]], "cc": [["c", "c"]]}
     got = s.word_scores(list(want))
@@ -484,12 +495,51 @@ def test_op10(spark):
     assert topk_search.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, 10).count() == 2
 
 
+def clustered(n, dim=32, kinds=200, noise=0.05, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((kinds, dim))[rng.integers(0, kinds, n)] + noise * rng.standard_normal((n, dim))
+    return rng.permutation(n).astype(np.int64), x
+
+
 def test_pruned_search_skips_blocks():
-    rows = np.repeat(np.array([[100, 0], [0, 1]]), 64, axis=0)
-    q, v, s = topk_search.search_segment(np.arange(128), rows, np.array([500]), np.array([[1, 0]]), 3, 64)
-    assert v.tolist() == [0, 1, 2] and s.tolist() == [100] * 3
-    big = np.array([[2**40, 1], [1, 2**20]])
-    assert topk_search.search_segment(np.array([1, 2]), big, np.array([9]), np.array([[2**20, 1]]), 1)[2].tolist() == [2**60 + 1]
+    """On 20,000 rows of 200 kinds few blocks are scored, and the answers are those of all rows."""
+    ids, x = clustered(20_000)
+    rows = np.floor(1024 * x)
+    blocks = topk_search.Blocks(ids, rows, 10)
+    at = np.arange(0, 20_000, 400)
+    q, found, score = blocks.search(ids[at], rows[at], np.full(len(at), -np.inf))
+    for i in at:
+        s = rows @ rows[i]
+        best = [j for j in np.lexsort((ids, -s)) if j != i][:10]
+        assert found[q == ids[i]].tolist() == ids[best].tolist() and score[q == ids[i]].tolist() == s[best].tolist()
+    assert blocks.scored < 0.1 * blocks.passed
+    # A floor that the k-th score reaches changes nothing but the work.
+    floors = np.array([score[q == ids[i]].min() for i in at], float)
+    before, blocks.scored = blocks.scored, 0
+    again = blocks.search(ids[at], rows[at], floors)
+    assert all((a == b).all() for a, b in zip(again, (q, found, score))) and blocks.scored <= before
+
+
+def test_top_k_sums_are_exact():
+    big = np.array([[2.0**40, 1], [1, 2.0**20]])
+    none = np.array([-np.inf])
+    assert topk_search.Blocks(np.array([1, 2]), big, 1).search(np.array([9]), np.array([[2.0**20, 1]]), none)[2].tolist() == [2**60 + 1]
+    with pytest.raises(OverflowError):
+        topk_search.Blocks(np.array([1, 2]), big, 1).search(np.array([9]), np.array([[2.0**40, 1]]), none)
+
+
+def test_searches_take_odd_tables(spark):
+    """Ties, repeated rows and ids, vectors of unequal length, and columns with the names that the operators use."""
+    rows = [(i, [1.0, float(i % 3)], 1, "a") for i in range(12)] + [(3, [1.0, 0.0], 2, "b"), (3, [0.5], 2, "b"), (20, [2.0], 3, "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, segment string").withColumn("vector", F.lit(1)).withColumn("floor", F.lit(2)).withColumn("score", F.lit(3)).withColumn("rank", F.lit(9))
+    full = [(i, np.r_[v, np.zeros(2 - len(v))]) for i, v, _, _ in rows]
+    of = {0: np.array([1.0, 0.0]), 3: np.array([0.5, 0.0]), 6: np.array([1.0, 0.0]), 9: np.array([1.0, 0.0])}  # the least vector of an id asks
+    for k, search, score in ((10, topk_search.top_k, lambda a, b: int(np.floor(1024 * a) @ np.floor(1024 * b))), (20, projection_search.nearest, lambda a, b: float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))))):
+        got = search(df, F.col("vec_id") % 3 == 0, k, segment=4).where("query_id < 12").collect()
+        for q, v in of.items():
+            want = sorted(((-score(x, v), i) for i, x in full if i != q))[:k]
+            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+            assert [(i, pytest.approx(s)) for _, i, s in mine] == [(i, -s) for s, i in want]
 
 
 def test_op1(spark):
@@ -520,7 +570,7 @@ def test_op1_many_copies():
     rows = np.concatenate([np.repeat(kinds, [300, 40, 500, 1], axis=0), rng.standard_normal((200, 64))])
     ids = rng.permutation(len(rows)).astype(np.int64)
     at = np.r_[0:300:30, 300:340:10, 340:840:50]
-    q, found, score = projection_search.search_segment(ids, rows, ids[at], rows[at], 5)
+    q, found, score = projection_search.Index(ids, rows, 5).search(ids[at], rows[at], np.full(len(at), -np.inf))
     for i in at:
         same = ids[(rows == rows[i]).all(1)]
         assert found[q == ids[i]].tolist() == np.sort(same[same != ids[i]])[:5].tolist()
@@ -549,8 +599,37 @@ def test_chi_square_and_tree():
     tree = projection_search.KdTree(pts, 16)
     assert sorted(tree.rows.tolist()) == list(range(500))
     q = np.array([0.1, 0.2, -0.3, 2.0])
-    far = tree.distances(q)
-    for i, d in enumerate(far):
-        inside = pts[tree.rows[tree.starts[i] : tree.starts[i + 1]]]
-        assert len(inside) <= 16 and ((inside - q) ** 2).sum(1).min() >= d - 1e-12
+    walk, got, taken = tree.nearing(q, 8), [], 0
+    batch = next(walk)
+    while batch is not None:
+        got += [(x, r) for x, r in zip(*batch) if x <= 2.0]
+        taken += len(batch[0])
+        try:
+            batch = walk.send(2.0)
+        except StopIteration:
+            batch = None
+    d = ((pts - q) ** 2).sum(1)
+    want = np.sort(d[d <= 2.0])
+    assert taken < len(pts) and np.allclose([x for x, _ in got], want) and np.allclose(d[tree.rows[[r for _, r in got]]], want)
+
+
+def test_stopping_test_fires():
+    """On 20,000 rows the test ends most searches early, with a recall of 0.9 or more."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((50, 64))[rng.integers(0, 50, 20_000)] + 1.5 * rng.standard_normal((20_000, 64))
+    ids = rng.permutation(len(x)).astype(np.int64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    index = projection_search.Index(ids, x, 5)
+    at = np.arange(0, len(x), 500)
+    q, found, _ = index.search(ids[at], x[at], np.full(len(at), -np.inf))
+    hits = 0
+    for i in at:
+        s = unit @ unit[i]
+        s[i] = -2
+        hits += len(set(ids[np.argsort(-s)[:5]].tolist()) & set(found[q == ids[i]].tolist()))
+    assert hits >= 0.9 * 5 * len(at)
+    assert index.verified < 0.5 * index.passed
+
+
+def test_trees_of_equal_points():
     projection_search.KdTree(np.zeros((100, 2)), 8)
