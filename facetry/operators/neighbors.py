@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import distances
 from .predicates import Node, solve
 
-#: Base rows of one segment, query rows of one chunk: what one task holds of either side.
-SEGMENT, CHUNK = 65_536, 4_096
+#: Base rows of one segment: what one task holds of them; and query rows that meet it at a time.
+SEGMENT, CHUNK = 65_536, 128
+#: Queries that are sent to all tasks at a time, by column expressions.
+SENT = 4_096
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -19,50 +21,75 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query", "rank", "ordinal", "distance")
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, metric: str | None = None, digits: int | None = None, exclude_self: bool = False, segment: int = SEGMENT, chunk: int = CHUNK) -> DataFrame:
+def _rows(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix; nulls and unequal lengths raise."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or column.flatten().null_count or len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors must be given, without nulls and of one length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+
+
+def knn(base: DataFrame, queries: DataFrame, k: int, metric: str | None = None, digits: int | None = None, exclude_self: bool = False, segment: int = SEGMENT) -> DataFrame:
     """(query, rank, ordinal, distance) of the k nearest base rows of every query; ties to the smaller ordinal.
 
-    base and queries: (ordinal, vector). Both sides are dealt into bounded parts and each pair of parts is one task that
-    multiplies matrices and keeps its k best; only those are shuffled and ranked. `digits` rounds distances before they
-    are ranked. Nulls and unequal lengths raise.
+    base and queries: (ordinal, vector). Base rows are dealt round robin into segments of bounded size. A task takes in a
+    segment, then the queries as they come, a few at a time: it multiplies matrices and keeps each query's k best, and
+    only those are ranked after another shuffle. `digits` rounds distances before they are ranked. Nulls and unequal
+    lengths raise.
     """
     name = distances.canonical(metric)
-    n, m = base.count(), queries.count()
-    segments, chunks = max(1, -(-n // segment)), max(1, -(-m // chunk))
-    parts = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-    left = base.select("ordinal", "vector").withColumn("s", F.pmod(F.xxhash64("ordinal"), F.lit(segments)).cast("int")).withColumn("c", parts(chunks))
-    right = queries.select("ordinal", "vector").withColumn("c", F.pmod(F.xxhash64("ordinal", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("s", parts(segments))
-
-    def run(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if b.empty or q.empty:
-            return pd.DataFrame({"query": np.empty(0, np.int64), "ordinal": np.empty(0, np.int64), "distance": np.empty(0)})
-        b = b.sort_values("ordinal", kind="stable")
-        ids, rows = b["ordinal"].to_numpy(), np.stack(b["vector"])
-        out = []
-        for lo in range(0, len(q), 256):
-            some = q.iloc[lo : lo + 256]
-            d = distances.bulk(np.stack(some["vector"]), rows, name)
-            if digits is not None:
-                d = np.round(d, digits)
-            for query, row in zip(some["ordinal"], d):
-                at = np.arange(len(ids)) if not exclude_self else np.flatnonzero(ids != query)
-                if len(at) > k:
-                    # All that tie with the k-th, then by ordinal.
-                    at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
-                at = at[np.lexsort((ids[at], row[at]))[:k]]
-                out.append(pd.DataFrame({"query": query, "ordinal": ids[at], "distance": row[at]}))
-        return pd.concat(out)
-
-    found = left.groupBy("s", "c").cogroup(right.groupBy("s", "c")).applyInPandas(run, "query long, ordinal long, distance double")
-    return _top(found, k)
+    segments = max(1, -(-base.count() // segment))
+    vector = F.col("vector").cast("array<double>")
+    left = base.select(F.pmod(F.monotonically_increasing_id(), F.lit(segments)).cast("int").alias("s"), F.lit(0).alias("of"), F.col("ordinal").cast("long"), vector)
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("s"), F.lit(1).alias("of"), F.col("ordinal").cast("long"), vector)
+    both = left.union(right).toDF("s", "of", "ordinal", "vector").repartition(segments, "s").sortWithinPartitions("s", "of")
+
+    def best(query: int, ids: np.ndarray, row: np.ndarray):
+        at = np.flatnonzero(ids != query) if exclude_self else np.arange(len(ids))
+        if len(at) > k:
+            # All that tie with the k-th, then by ordinal.
+            at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
+        at = at[np.lexsort((ids[at], row[at]))[:k]]
+        return np.full(len(at), query), ids[at], row[at]
+
+    def run(batches):
+        s, held, ids, rows = None, [], None, None
+        for b in batches:
+            where, of = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero((where[1:] != where[:-1]) | (of[1:] != of[:-1])) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(where)]):
+                if where[lo] != s:
+                    s, held, ids = where[lo], [], None
+                if not of[lo]:
+                    held.append((b.column(2).slice(lo, hi - lo).to_numpy(), _rows(b.column(3).slice(lo, hi - lo))))
+                    continue
+                if ids is None and held:
+                    ids, rows = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    held = []
+                for at in range(lo, hi, CHUNK) if ids is not None else ():
+                    n = min(CHUNK, hi - at)
+                    d = distances.bulk(_rows(b.column(3).slice(at, n)), rows, name)
+                    d = d if digits is None else np.round(d, digits)
+                    found = [best(q, ids, row) for q, row in zip(b.column(2).slice(at, n).to_pylist(), d)]
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query", "ordinal", "distance"])
+
+    return _top(both.mapInArrow(run, "query long, ordinal long, distance double"), k)
 
 
 def knn_expression(base: DataFrame, queries: DataFrame, k: int, metric: str | None = None, digits: int | None = None) -> DataFrame:
-    """knn() for a small query set in column expressions alone; the ranking is limited before and after its shuffle."""
+    """knn() in column expressions alone; the ranking is limited before and after its shuffle.
+
+    Queries are sent to all tasks in parts of about SENT rows, each against one scan of the base.
+    """
     d = distances.distance(F.col("q_vector"), F.col("vector"), metric)
     q = queries.select(F.col("ordinal").alias("query"), F.col("vector").alias("q_vector"))
-    pairs = base.select("ordinal", "vector").crossJoin(F.broadcast(q) if queries.count() <= CHUNK else q)
-    return _top(pairs.select("query", "ordinal", (d if digits is None else F.round(d, digits)).alias("distance")), k)
+    parts, out = max(1, -(-queries.count() // SENT)), None
+    for i in range(parts):
+        some = q.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i)
+        pairs = base.select("ordinal", "vector").crossJoin(F.broadcast(some))
+        found = _top(pairs.select("query", "ordinal", (d if digits is None else F.round(d, digits)).alias("distance")), k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def filtered_knn(base: DataFrame, queries: DataFrame, solved: DataFrame, k: int, metric: str | None = None, digits: int | None = None) -> DataFrame:

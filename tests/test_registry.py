@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from facetry.plans import registry
+from facetry.plans import registry, stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +43,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", ["knn_exact", "knn_expression", "knn_filtered", "knn_predicated", "knn_verify_recall", "neighbor_dereference", "verify_profiles"])
 def test_every_twentieth_row_is_answered(spark, name):
-    got = registry.QUERIES[f"{name}_20"](spark, SF).select("query").distinct().toPandas()
+    got = registry.QUERIES[name](spark, SF).select("query").distinct().toPandas()
     assert sorted(got["query"]) == list(range(0, 500, 20))
 
 
@@ -56,12 +56,12 @@ def test_entry_answers_every_twentieth_row(spark):
 def test_chunk_hashes_of_all_texts(spark):
     docs = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = {(d, c, c * 1024, min((c + 1) * 1024, len(b)), hashlib.sha256(b[c * 1024 : (c + 1) * 1024]).hexdigest()) for d, b in docs for c in range(-(-len(b) // 1024))}
-    got = registry.QUERIES["chunk_hashes_all"](spark, SF).select("doc_id", "chunk", "start", "end", "hash").collect()
+    got = registry.QUERIES["chunk_hashes"](spark, SF).select("doc_id", "chunk", "start", "end", "hash").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert any(not b.isascii() for _, b in docs) and {r["doc_id"] for r in got} == {d for d, b in docs if b}
 
 
 def test_a_profile_covers_the_whole_base(spark):
-    got = registry.QUERIES["verify_profiles_whole"](spark, SF).toPandas()
+    got = registry.QUERIES["verify_profiles"](spark, SF).toPandas()
     assert set(got["profile"]) == {"quarter", "half", "whole"}
     assert got[got["profile"] == "whole"]["ordinal"].max() >= 400 and got[got["profile"] == "half"]["ordinal"].max() < 250

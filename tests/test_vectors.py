@@ -49,7 +49,7 @@ def test_knn_with_ties(data, metric):
     for q in range(0, 300, 30):
         d = np.round(D.bulk(x[q : q + 1], x, metric)[0], 6)
         brute[q] = [int(i) for i in np.lexsort((np.arange(300), d))[:7]]
-    for found in (N.knn(base, queries, 7, metric, 6, segment=64, chunk=4), N.knn_expression(base, queries, 7, metric, 6)):
+    for found in (N.knn(base, queries, 7, metric, 6, segment=64), N.knn_expression(base, queries, 7, metric, 6)):
         got = {}
         for r in found.orderBy("query", "rank").collect():
             got.setdefault(r["query"], []).append(r["ordinal"])
