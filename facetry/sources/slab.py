@@ -9,6 +9,7 @@ a run of pages; the options `namespace`, `start` and `end` skip pages.
 from __future__ import annotations
 
 import struct
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -224,11 +225,70 @@ def write(uri: str, rows: Iterable[tuple[str, int, bytes]], page_size: int = 1 <
 
 
 def write_frame(df: DataFrame, uri: str, page_size: int = 1 << 16) -> None:
-    """(namespace, ordinal, data) as one store; rows come to the writer partition by partition, sorted by Spark."""
+    """(namespace, ordinal, data) as one store; rows come to the writer partition by partition, sorted by Spark.
+
+    One file has one writer: for tables beyond that, write_parts() writes a folder of stores.
+    """
     rows = df.select("namespace", "ordinal", "data").orderBy("namespace", "ordinal").toLocalIterator(prefetchPartitions=True)
     write(uri, ((r[0], r[1], bytes(r[2])) for r in rows), page_size)
 
 
+def write_parts(df: DataFrame, folder: str, parts: int | None = None, page_size: int = 1 << 16) -> int:
+    """(namespace, ordinal, data) as a folder of stores, each task writing one of its own; returns the number of records.
+
+    Stores take ranges of (namespace, ordinal), so that readers with bounds open few. A task's file gets its name only
+    when the job is done: what failed attempts leave is no store.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        out, n = None, 0
+        uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.slab"
+        for b in batches:
+            for ns, ordinal, data in zip(*(c.to_pylist() for c in b.columns)):
+                out = out or Writer(uri + ".part", page_size)
+                out.write(ordinal, data, ns)
+                n += 1
+        if out:
+            out.close()
+            yield pa.record_batch([pa.array([uri]), pa.array([n], pa.int64())], names=["uri", "n"])
+
+    rows = df.select("namespace", F.col("ordinal").cast("long").alias("ordinal"), "data")
+    rows = rows.repartitionByRange(parts, "namespace", "ordinal") if parts else rows.repartitionByRange("namespace", "ordinal")
+    # One row for each store comes to the driver.
+    done = rows.sortWithinPartitions("namespace", "ordinal").mapInArrow(run, "uri string, n long").collect()
+    for r in done:
+        storage.replace(r["uri"] + ".part", r["uri"])
+    return sum(r["n"] for r in done)
+
+
+def analyze(records: DataFrame) -> DataFrame:
+    """(namespace, records, first, last, ordinals, min_bytes, avg_bytes, max_bytes, content) of (namespace, ordinal, data).
+
+    `ordinals` says whether a namespace's ordinals follow one another (strict), leave gaps (sparse) or repeat
+    (non-monotonic); `content` is json where every record is a JSON value, else text where all are valid UTF-8, else
+    binary. An empty table gives no rows.
+    """
+    n = F.length("data")
+    text = F.try_validate_utf8(F.col("data").cast("string"))
+    json = F.get_json_object(text, "$").isNotNull()
+    # Repeated ordinals meet in the distinct count, which is partial in each task.
+    out = records.groupBy("namespace").agg(
+        F.count("*").alias("records"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count_distinct("ordinal").alias("_distinct"),
+        F.min(n).cast("long").alias("min_bytes"), F.avg(n).alias("avg_bytes"), F.max(n).cast("long").alias("max_bytes"),
+        F.bool_and(json).alias("_json"), F.bool_and(text.isNotNull()).alias("_text"),
+    )
+    order = F.when(F.col("_distinct") < F.col("records"), "non-monotonic").when(F.col("last") - F.col("first") + 1 > F.col("records"), "sparse").otherwise("strict")
+    kind = F.when(F.col("_json"), "json").when(F.col("_text"), "text").otherwise("binary")
+    return out.select("namespace", "records", "first", "last", order.alias("ordinals"), "min_bytes", "avg_bytes", "max_bytes", kind.alias("content"))
+
+
+def lookup(records: DataFrame, requests: DataFrame) -> DataFrame:
+    """The record of each request (position, namespace, ordinal), or null: (position, namespace, ordinal, data)."""
+    return requests.join(records, ["namespace", "ordinal"], "left").select("position", "namespace", "ordinal", "data")
+
+
 def append(uri: str, records: Iterable[bytes], namespace: str = "", page_size: int = 1 << 16) -> int:
     """Records after the last ordinal of the namespace; the rest of the store is copied. Returns the first new ordinal."""
     store = Store.open(uri)

@@ -3,8 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from urllib.parse import urlparse
 
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which driver and executors share; on a single machine, where that is unset,
+    in one of our own."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            root = known.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        else:
+            root = "file://" + tempfile.mkdtemp(prefix="facetry-")
+            spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/facetry/{name}-{uuid.uuid4().hex}"
+
 
 def _local(uri: str) -> str | None:
     at = urlparse(uri)
