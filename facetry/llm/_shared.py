@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
+import sys
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file: in `folder`, else where the installed package has it."""
     if folder:
@@ -21,13 +21,15 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine one of our own where that
+    is unset. On a cluster a machine's own folder would not do: there it must be set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        # Without a configured folder this is a single-machine session, as in tests.
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             root = known.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="facetry-")
             spark.sparkContext.setCheckpointDir(root)
@@ -42,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._facetry_path = path
     return out
@@ -76,38 +78,66 @@ def small(batches, rows: int = 1024):
             yield b.slice(at, rows)
 
 
-class Memo(dict):
-    """A bounded two-generation cache: what is used stays, what isn't used for a generation goes.
+_kept: dict = {}
+
 
-    `compute` gives the value of a key, never None. Many keys are looked up in one pass by map(memo.__getitem__, keys).
-    A worker process outlives its tasks and may come to serve several operators: focus() empties the others' memos, so
-    that their bounds don't add up.
+def kept(key, make=lambda: True):
+    """What this worker process keeps under `key` from one task to the next, made at its first use.
+
+    A worker outlives its tasks and may come to serve several operators. Each names its key at the start of a task, and
+    what another operator has kept goes, so that their bounds don't add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        try:
+            # Freed blocks go back to the system where the C library can do that.
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+        _kept[key] = make()
+    return _kept[key]
+
+
+class Memo:
+    """Values of strings, in two generations of at most `most` bytes each: what is used stays, what isn't used for a
+    generation goes. Strings of over LONGEST characters are computed each time.
+
+    `compute` gives the values of a list of strings. lookup() is for the strings of a bounded part of the input.
     """
 
-    _known: "list[Memo]" = []
-
-    def __init__(self, limit: int, compute=None):
-        super().__init__()
-        self.limit, self.compute, self.old = limit, compute, {}
-        Memo._known.append(self)
-
-    def focus(self) -> "Memo":
-        for other in Memo._known:
-            if other is not self:
-                other.clear()
-                other.old = {}
-        Memo._known = [self]
-        return self
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    LONGEST = 64
+
+    def __init__(self, compute, most: int = 48 << 20):
+        self.compute, self.most = compute, most
+        self.new, self.old, self.bytes, self.passing = {}, {}, 0, []
+
+    def lookup(self, keys) -> dict:
+        """A table that has all of `keys`, until the next call."""
+        for k in self.passing:
+            self.new.pop(k, None)
+        self.passing = []
+        if self.bytes > self.most:
+            self.old, self.new, self.bytes = self.new, {}, 0
+        missing = [k for k in set(keys) if k not in self.new]
+        fresh = []
+        for k in missing:
+            v = self.old.get(k)
+            if v is None:
+                fresh.append(k)
+            else:
+                self._hold(k, v)
+        for k, v in zip(fresh, self.compute(fresh) if fresh else ()):
+            self._hold(k, v)
+        return self.new
+
+    def _hold(self, key: str, value) -> None:
+        self.new[key] = value
+        if len(key) > self.LONGEST:
+            self.passing.append(key)
+        else:
+            # An entry's share of the table, and its objects.
+            self.bytes += 100 + sys.getsizeof(key) + sum(map(sys.getsizeof, value if isinstance(value, tuple) else (value,)))
 
 
 def slices(lengths, most: int):

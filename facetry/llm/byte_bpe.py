@@ -7,43 +7,52 @@ import re
 
 import numpy as np
 
-from ._shared import Memo
+from ._shared import Memo, kept, slices
 
 #: White space next to white space: there the pattern's splits depend on what stands around.
 _RUN = re.compile(r"\s\s")
-_models: dict[str, "ByteBPE"] = {}
-
+#: Where a stretch ends in a text with such runs: at single spaces and line feeds between other characters.
+_BORDER = re.compile(r"(?<=\S)(?= \S|\n\S)|(?<=\S\n)(?=\S)")
 
 class ByteBPE:
     """The tokenizers library's ids, as little-endian unsigned 32-bit integers.
 
     The vocabulary's pattern ends a pretoken before every single space and around every single line feed, so the
-    stretches between them are encoded independently. Texts with runs of white space are encoded as a whole.
+    stretches between them are encoded independently. A run of white space stays within a stretch.
     """
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo = Memo(memo, self._encode)
+        self.memo = Memo(self._encode)
         if self.library.get_vocab_size() > 1 << 32:
             raise ValueError("ids don't fit 32 bits")
 
-    def _encode(self, part: str) -> bytes:
-        return np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text; a null text has none."""
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for lo, hi in slices([len(p) for p in parts], 1 << 14):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts[lo:hi], add_special_tokens=False)]
+        return out
+
+    def ids(self, texts: list[str | None]):
+        """The ids of each whole text; a null text has none."""
+        for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
+            parts = [self._parts(t) for t in texts[lo:hi]]
+            get = self.memo.lookup({p for x in parts for p in x}).__getitem__
+            for x in parts:
+                yield b"".join(map(get, x))
+
+    @staticmethod
+    def _parts(text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
         if _RUN.search(text) or "\x01" in text:
-            return self._encode(text)
-        return b"".join(map(self.memo.__getitem__, text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")))
+            return _BORDER.split(text)
+        return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
 
 def load(path: str) -> ByteBPE:
     """The encoder of a vocabulary file, made once in each process."""
-    if path not in _models:
-        _models[path] = ByteBPE(path)
-    return _models[path]
+    return kept(("byte_bpe", path), lambda: ByteBPE(path))

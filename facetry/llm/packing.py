@@ -140,12 +140,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         model = byte_bpe.load(path)
-        model.memo.focus()
-        encode = model.ids
         for batch in small(batches):
             out = [[] for _ in schema]
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encode(t) + end)
+            for d, ids in zip(batch.column(0).to_pylist(), model.ids(batch.column(1).to_pylist())):
+                ids = memoryview(ids + end)
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     part = ids[4 * s : 4 * (s + capacity)]

@@ -16,11 +16,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from ._shared import Memo, slices, small, tokenizer_path
+from ._shared import Memo, kept, slices, small, tokenizer_path
 
 SPACE = "▁"
 UNKNOWN = -1
-_models: dict[str, "PrefixTable"] = {}
 
 
 class PrefixTable:
@@ -78,6 +77,7 @@ class PrefixTable:
         self.size, self.names = n, names
         self.lines = not any("\n" in t and len(t) > 1 for t in ids)
         self.pairs: dict[int, bool] = {}
+        self.memo: Memo | None = None
         self.piece_bytes = {i: t.encode() for i, t in self.text.items()} | {i: bytes([b]) for b, i in self.byte.items()}
 
     def _formed(self, i: int) -> bool:
@@ -106,7 +106,7 @@ class PrefixTable:
         key = a << 20 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[key] = self._holds(a, b, float("inf"))
         return known
@@ -178,9 +178,7 @@ class PrefixTable:
 
 def load(model_file: str) -> PrefixTable:
     """The table of a model, built once in each process."""
-    if model_file not in _models:
-        _models[model_file] = PrefixTable(model_file)
-    return _models[model_file]
+    return kept(("sentencepiece", model_file), lambda: PrefixTable(model_file))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -204,7 +202,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, memo: int = 300_000) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, memo: int = 48 << 20) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids as text and of the decoded text; null text: empty.
 
     The same encoder as encoded(), a pretoken's ids and decoded bytes kept in a bounded memo of each process, so that
@@ -215,35 +213,34 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def run(batches):
         table = load(model_file)
 
-        def part(p):
-            ids = table.piece_ids(p)
-            return "".join([f"{i}," for i in ids]), len(ids), table.decode_bytes(ids)
-
-        store = table.__dict__.setdefault("memo", Memo(memo, part)).focus()
+        def parts_of(fresh):
+            for p in fresh:
+                ids = table.piece_ids(p)
+                yield "".join([f"{i}," for i in ids]), len(ids), table.decode_bytes(ids)
 
+        if table.memo is None:
+            table.memo = Memo(parts_of, memo)
         for b in small(batches):
             texts = b.column(1).to_pylist()
             count, sha, back = [], [], []
-            for t in texts:
-                h, g, n, rest = hashlib.sha256(), hashlib.sha256(), 0, ""
-                parts = table.pretokens(t or "")
-                skip = 1
-                for lo, hi in slices([1] * len(parts), 1 << 16) if len(parts) > 1 << 16 else [(0, len(parts))]:
-                    got = list(map(store.__getitem__, parts[lo:hi]))
-                    if not got:
-                        continue
-                    text, lens, raw = zip(*got)
-                    joined = rest + "".join(text)
-                    if joined:
-                        h.update(joined[:-1].encode())
-                        rest = ","
-                    n += sum(lens)
-                    raw = b"".join(raw)
-                    g.update(raw[1:] if skip and raw[:1] == b" " else raw)
-                    skip = skip and not raw
-                count.append(n)
-                sha.append(h.hexdigest())
-                back.append(g.hexdigest())
+            for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
+                split = [table.pretokens(t or "") for t in texts[lo:hi]]
+                store = table.memo.lookup({p for x in split for p in x})
+                for parts in split:
+                    h, g, n, rest, skip = hashlib.sha256(), hashlib.sha256(), 0, "", True
+                    for at in range(0, len(parts), 1 << 16):
+                        text, lens, raw = zip(*map(store.__getitem__, parts[at : at + (1 << 16)]))
+                        joined = rest + "".join(text)
+                        if joined:
+                            h.update(joined[:-1].encode())
+                            rest = ","
+                        n += sum(lens)
+                        raw = b"".join(raw)
+                        g.update(raw[1:] if skip and raw[:1] == b" " else raw)
+                        skip = skip and not raw
+                    count.append(n)
+                    sha.append(h.hexdigest())
+                    back.append(g.hexdigest())
             yield pa.record_batch([b.column(0), pa.array(count, pa.int64()), pa.array(sha), pa.array(back)], schema=OUT)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

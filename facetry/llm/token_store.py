@@ -155,7 +155,6 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         model = byte_bpe.load(path)
-        model.memo.focus()
         size = model.library.get_vocab_size()
         width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
         end, out, n = np.array([end_id], "<u4"), None, 0
@@ -165,14 +164,14 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             return pa.record_batch([pa.array([v], f.type) for v, f in zip((uri, first, n, out.ids), schema)], schema=schema)
 
         for b in small(batches):
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, ids in zip(b.column(0).to_pylist(), model.ids(b.column(1).to_pylist())):
                 if out is not None and out.bytes >= FILE_BYTES and d != before:
                     yield done()
                     out = None
                 if out is None:
                     uri, first, n = f"{folder}/ids-{uuid.uuid4().hex}.zst", d, 0
                     out = Writer(uri, width)
-                out.add(d, np.concatenate([np.frombuffer(model.ids(t), "<u4"), end]))
+                out.add(d, np.concatenate([np.frombuffer(ids, "<u4"), end]))
                 n += 1
                 before = d
         if out is not None:
@@ -197,7 +196,8 @@ def read(spark: SparkSession, manifest: DataFrame, wanted=None) -> DataFrame:
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
-    return manifest.select("file", "ids_before").repartition("file")
+    """The files, a task for each or so: a stated number of partitions isn't merged into few."""
+    return manifest.select("file", "ids_before").repartition(max(1, min(manifest.count(), 100_000)), "file")
 
 
 def _documents(batches, wanted=None):
