@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sentencepiece_bpe
-from ._shared import small, sweep, tokenizer_path, written
+from ._shared import kept, slices, small, sweep, tokenizer_path, written
 
 #: Of the broadcast counts: at most so many pretokens of at most so many characters.
-FREQUENT, LONGEST = 65_536, 48
-#: Distinct pretokens that a task holds before it hands its counts on.
-HELD = 300_000
-_libraries: dict[str, sentencepiece.SentencePieceProcessor] = {}
+FREQUENT, LONGEST = 262_144, 48
+#: Distinct pretokens that a task holds, and characters that it reads, before it hands its counts on.
+HELD, READ = 300_000, 16 << 20
+
+
+def _local(path: str):
+    """How texts part into pretokens, and the library: both for all stages of this operator."""
+    return kept(("token_counts", path), lambda: (sentencepiece_bpe.PrefixTable(path).pretokens, sentencepiece.SentencePieceProcessor(model_file=path)))
 
 
 def _library(path: str) -> sentencepiece.SentencePieceProcessor:
-    if path not in _libraries:
-        _libraries[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _libraries[path]
+    return _local(path)[1]
 
 
 def piece_counts(parts: list[str], path: str) -> list[int]:
@@ -72,19 +74,27 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     pair = pa.schema([("piece", pa.string()), ("n", pa.int64())])
 
     def corpus(batches):
-        split, held = sentencepiece_bpe.load(path).pretokens, Counter()
+        split, held, read = _local(path)[0], Counter(), 0
+
+        def counts():
+            return pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=pair)
+
         for b in small(batches):
             for t in b.column(0).to_pylist():
                 held.update(split(t or ""))
-                if len(held) > HELD:
-                    yield pa.record_batch([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], schema=pair)
-                    held = Counter()
-        yield pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=pair)
+                read += len(t or "")
+                if len(held) > HELD or read > READ:
+                    yield counts()
+                    held.clear()
+                    read = 0
+        yield counts()
 
     def pieces(batches):
         schema = pa.schema([*pair, ("k", pa.int32())])
         for b in small(batches):
-            yield pa.record_batch([*b.columns, pa.array(piece_counts(b.column(0).to_pylist(), path), pa.int32())], schema=schema)
+            parts = b.column(0).to_pylist()
+            counts = [k for lo, hi in slices([len(p) for p in parts], 1 << 16) for k in piece_counts(parts[lo:hi], path)]
+            yield pa.record_batch([*b.columns, pa.array(counts, pa.int32())], schema=schema)
 
     distinct = rows.select("text").mapInArrow(corpus, "piece string, n long").where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
     distinct = written(distinct.mapInArrow(pieces, "piece string, n long, k int"), "pretokens")
@@ -94,7 +104,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("rest", pa.map_(pa.string(), pa.int32()))])
 
     def frequencies(batches):
-        split, get = sentencepiece_bpe.load(path).pretokens, known.value.get
+        split, get = _local(path)[0], known.value.get
         row = TaskContext.get().partitionId() << 33
         for b in small(batches):
             sizes, base, rest = [], [], []
