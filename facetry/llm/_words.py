@@ -15,11 +15,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes that are hashed at a time, about; and how many powers of a base stay between calls.
+BLOCK, HELD = 1 << 20, 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n - 1) modulo 2^64, kept between calls."""
+    """base^0 .. base^(n - 1) modulo 2^64; up to HELD of them are kept between calls."""
     known = _powers.get(base)
     if known is None or len(known) < n:
         size = 1 << max(12, (n - 1).bit_length())
@@ -29,7 +31,8 @@ def powers(base: int, n: int) -> np.ndarray:
         while done < size:
             known[done : 2 * done] = known[:done] * np.uint64(pow(base, done, 1 << 64))
             done *= 2
-        _powers[base] = known
+        if size <= HELD:
+            _powers[base] = known
     return known[:n]
 
 
@@ -46,22 +49,41 @@ def _spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) ->
 
 
 class Words:
-    """The words of a list of texts: hash, first and last byte in `data`, and firsts[i]..firsts[i + 1] of text i."""
+    """The words of a list of texts (or their UTF-8): hash, first and last byte in `data`, and firsts[i]..firsts[i + 1] of text i."""
 
-    def __init__(self, texts: list[str | None], lower: bool):
-        encoded = [(t or "").encode() for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool):
+        encoded = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
         self.data = b"\n".join(encoded) + b"\n"
-        raw = np.frombuffer(self.data, np.uint8)
-        space = _SPACE[raw]
+        self.raw = np.frombuffer(self.data, np.uint8)
+        self.values = _VALUES[_LOWER] if lower else _VALUES
+        space = _SPACE[self.raw]
         before = np.r_[True, space[:-1]]
         self.starts = np.flatnonzero(~space & before)
         self.ends = np.flatnonzero(space & ~before)
+        del space, before
         offsets = np.r_[0, np.cumsum([len(e) + 1 for e in encoded])]
         self.firsts = np.searchsorted(self.starts, offsets)
-        values = _VALUES[_LOWER[raw]] if lower else _VALUES[raw]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(values * powers(_BYTE, len(raw)), out=sums[1:])
-        self.hashes = mix(_spans(sums, self.starts, self.ends, _BYTE))
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.starts):
+            # Words of a block of bytes at a time; a word beyond the size of a block is one by itself.
+            stop = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + BLOCK, "right")))
+            self.hashes[at:stop] = self._block(at, stop)
+            at = stop
+        self.hashes = mix(self.hashes)
+
+    def _block(self, at: int, stop: int) -> np.ndarray:
+        """Sums of value * base^place over the bytes of each word, before they are mixed."""
+        lo, hi = int(self.starts[at]), int(self.ends[stop - 1])
+        if stop - at == 1:
+            total = 0
+            for s in range(lo, hi, BLOCK):
+                part = self.values[self.raw[s : min(hi, s + BLOCK)]]
+                total += int(np.sum(part * powers(_BYTE, len(part)))) * pow(_BYTE, s - lo, 1 << 64)
+            return np.array([total & 0xFFFFFFFFFFFFFFFF], np.uint64)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(self.values[self.raw[lo:hi]] * powers(_BYTE, hi - lo), out=sums[1:])
+        return _spans(sums, self.starts[at:stop] - lo, self.ends[at:stop] - lo, _BYTE)
 
     def windows(self, size: int) -> np.ndarray:
         """Hash of the `size` words from each word on, over borders of texts too; fewer at the end."""

@@ -1,10 +1,11 @@
 """Substring dedup (operator 4): repeated-phrase automata.
 
 A window is 13 consecutive words. Each window names one phrase in it, the seven words of least hash, so equal windows name
-equal phrases. Phrases that windows of two different texts name are confirmed as recurring; a join on their hashes names
-the documents that hold some, and in each slice of those the hashes locate the phrases. An Aho-Corasick automaton over
-words, compiled from the phrases at these places, goes over the slice and gives every occurrence again. The windows around the occurrences are confirmed on all 13
-words, with the smallest document that holds each.
+equal phrases. Phrases that windows of two different texts name are confirmed as recurring, and their words are taken
+from the document of the smallest id. Documents are dealt into shards; the words of the phrases that a shard's documents
+name are compiled into one Aho-Corasick automaton, and the shard's texts are streamed through it: that, and nothing else,
+says where a phrase stands. The windows that name a located phrase are compared on all 13 words, with the smallest
+document that holds each. A document none of whose phrases recurs holds no window of another text and isn't streamed.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import release, slices, small, sweep, written
+from ._shared import kept, release, slices, small, sweep, written
 from ._words import Words
 
 #: Words of a window, and of the phrase that stands for it: long enough that unrelated texts hardly share one.
 WINDOW, PHRASE = 13, 7
 #: Characters of the documents of one shard, about.
-SHARD = 1 << 20
+SHARD = 1 << 21
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -59,9 +60,10 @@ def _scanned(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("words_sha256", pa.string()), ("phrases", pa.list_(pa.int64()))])
 
     def run(batches):
+        kept("repeated_passages")
         for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts], SHARD):
+            for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
                 some = texts[lo:hi]
                 w = Words(some, lower=False)
                 least = sliding_least(w.windows(phrase), window - phrase + 1)
@@ -76,38 +78,65 @@ def _scanned(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
-def located(w: Words, phrases: np.ndarray, phrase: int) -> np.ndarray:
-    """Whether one of the recurring `phrases` (hashes) starts at each word: found by an automaton of the phrases' words."""
-    hashes = w.windows(phrase)
+def _spaced(text: str) -> bytes:
+    """The words of a text, each between single spaces."""
+    return b" " + b" ".join(text.encode().split()) + b" "
+
+
+def _phrase_words(rows: DataFrame, phrase: int) -> DataFrame:
+    """(phrase, words binary) of (text, phrases): the words of each wanted phrase that stands in the text."""
+    schema = pa.schema([("phrase", pa.int64()), ("words", pa.binary())])
+
+    def run(batches):
+        kept("repeated_passages")
+        for batch in small(batches):
+            texts, marks = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in slices([len(t) for t in texts], 1 << 20):
+                w = Words([_spaced(t) for t in texts[lo:hi]], lower=False)
+                grams = w.windows(phrase)
+                inside = np.zeros(len(grams), bool)
+                for i in range(hi - lo):
+                    inside[_windows(w, i, phrase)] = True
+                places = np.flatnonzero(inside & np.isin(grams, marks.slice(lo, hi - lo).flatten().to_numpy().view(np.uint64)))
+                found, first = np.unique(grams[places], return_index=True)
+                words = [w.data[w.starts[p] : w.ends[p + phrase - 1]] for p in places[first]]
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(words, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "phrase long, words binary")
+
+
+def automaton(phrases) -> ahocorasick.Automaton:
+    """The automaton of phrases (words joined by single spaces, UTF-8), over bytes read as Latin-1; values are lengths."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for p in phrases:
+        out.add_word(f" {p.decode('latin-1')} ", len(p) + 2)
+    if len(out):
+        out.make_automaton()
+    return out
+
+
+def located(w: Words, shard: ahocorasick.Automaton) -> np.ndarray:
+    """Whether one of the shard's phrases starts at each word; the words of `w` stand between single spaces."""
     here = np.zeros(len(w.hashes), bool)
-    if not len(hashes) or not len(phrases):
-        return here
-    # A recurring phrase of the shard stands in one of its documents: that place gives its words.
-    places = np.flatnonzero(np.isin(hashes, phrases))
-    _, first = np.unique(hashes[places], return_index=True)
-    numbers = np.unique(w.hashes, return_inverse=True)[1]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in places[first]:
-        automaton.add_word(tuple(numbers[p : p + phrase].tolist()), 1)
-    if not len(automaton):
-        return here
-    automaton.make_automaton()
-    ends = [end for end, _ in automaton.iter(tuple(numbers.tolist()))]
-    here[np.array(ends, np.int64) - phrase + 1] = True
+    if len(shard):
+        # Texts are parted by a line feed, which no phrase holds: none is found across a border.
+        begins = [end - length + 2 for end, length in shard.iter(w.data.decode("latin-1"))]
+        here[np.searchsorted(w.starts, np.array(begins, np.int64))] = True
     return here
 
 
 def _occurrences(rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, text, starts array<int>, hashes array<long>) of (doc_id, text, phrases): the windows that may recur."""
+    """(doc_id, text, starts array<int>, hashes array<long>) of (doc_id, text, phrases array<binary>): the windows that
+    may recur."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
+        kept("repeated_passages")
         for batch in small(batches):
             ids, texts, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi in slices([len(t) for t in texts], SHARD):
-                w = Words(texts[lo:hi], lower=False)
-                wanted = np.unique(marks.slice(lo, hi - lo).flatten().to_numpy()).view(np.uint64)
-                here = located(w, wanted, phrase)
+                w = Words([_spaced(t) for t in texts[lo:hi]], lower=False)
+                here = located(w, automaton(marks.slice(lo, hi - lo).flatten().unique().to_pylist()))
                 grams = w.windows(phrase)
                 reach = window - phrase + 1
                 least = sliding_least(grams, reach)
@@ -131,6 +160,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
     def run(batches):
+        kept("repeated_passages")
         for batch in small(batches):
             out = [[] for _ in range(4)]
             texts, starts, hashes, gone = (batch.column(i) for i in range(1, 5))
@@ -143,8 +173,8 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                 np.add.at(step, at, 1)
                 np.add.at(step, at + window, -1)
                 stays = np.cumsum(step[:-1]) == 0
-                kept = b" ".join([x for x, s in zip(words, stays.tolist()) if s])
-                for column, v in zip(out, (_key(raw), int((~stays).sum()), kept.decode(), hashlib.sha256(kept).hexdigest())):
+                rest = b" ".join([x for x, s in zip(words, stays.tolist()) if s])
+                for column, v in zip(out, (_key(raw), int((~stays).sum()), rest.decode(), hashlib.sha256(rest).hexdigest())):
                     column.append(v)
             yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:]))], schema=schema)
 
@@ -152,22 +182,32 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
-def _recurring(table: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc_id, phrases): the phrases of each document that the windows of another text name too.
+def _sources(table: DataFrame) -> DataFrame:
+    """(doc_id, phrase): the phrases that each text names, for its smallest id; combined in each task before they are dealt."""
+    one = table.where("doc_id is not null and size(phrases) > 0").groupBy("text_key").agg(F.min(F.struct("doc_id", "phrases")).alias("s"))
+    return one.select("s.doc_id", F.explode("s.phrases").alias("phrase"))
+
+
+def _recurring(named: DataFrame) -> DataFrame:
+    """(doc_id, phrases): the phrases that windows of two texts name, by the smallest id that names them.
 
     What is shuffled is unreferenced on return, so that a sweep frees its files.
     """
-    sources = table.where(F.size("phrases") > 0).join(first, "text_key").where("doc_id = first")
-    named = sources.select("doc_id", F.explode("phrases").alias("phrase"))
-    recurring = named.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
-    return written(named.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "recurring")
+    recurring = named.groupBy("phrase").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi")).where("doc_id < hi")
+    return written(recurring.groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases")), "recurring")
+
+
+def _held(named: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(doc_id, phrases array<binary>): the words of the confirmed phrases that each document names."""
+    return written(named.join(confirmed, "phrase").groupBy("doc_id").agg(F.collect_set("words").alias("phrases")), "held")
 
 
 def _repeats(places: DataFrame) -> DataFrame:
     """(doc_id, gone): the windows (hashes) of each document that a smaller id holds."""
-    windows = places.select("doc_id", F.explode("hashes").alias("hash")).distinct()
-    source = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    return written(windows.join(source, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("hash").alias("gone")), "repeats")
+    windows = places.select("doc_id", F.explode("hashes").alias("hash"))
+    # Written by itself, so that the join's large partitions can be split.
+    source = written(windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo"), "repeated")
+    return written(windows.join(source, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("hash").alias("gone")), "repeats")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -182,18 +222,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("a phrase must fit in a window")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     table = written(_scanned(rows, window, phrase), "scanned")
+    spark = docs.sparkSession
+    texts = rows.where("text is not null")
+
+    def of(wanted: DataFrame) -> DataFrame:
+        return texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "phrases")
+
     # Copies of a whole text repeat all of its windows: only the text of the smallest id is looked into.
-    first = table.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("first"))
-    held = _recurring(table, first)
-    sweep(docs.sparkSession)
-    places = written(_occurrences(rows.where("text is not null").join(held.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "phrases"), window, phrase), "occurrences")
+    recurring = _recurring(_sources(table))
+    sweep(spark)
+    confirmed = written(_phrase_words(of(recurring).select("text", "phrases"), phrase).groupBy("phrase").agg(F.min("words").alias("words")), "confirmed")
+    release(recurring)
+    sweep(spark)
+    held = _held(_sources(table), confirmed)
+    release(confirmed)
+    sweep(spark)
+    places = written(_occurrences(of(held), window, phrase), "occurrences")
     release(held)
-    sweep(docs.sparkSession)
+    sweep(spark)
     gone = _repeats(places)
-    sweep(docs.sparkSession)
+    sweep(spark)
     cut = written(_cut(places.join(gone, "doc_id").select("doc_id", "text", "starts", "hashes", "gone"), window).dropDuplicates(["doc_id", "text_key"]), "kept")
     release(places, gone)
-    sweep(docs.sparkSession)
+    sweep(spark)
+    first = written(table.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("text_key", "first"), "copied")
     light = table.select("doc_id", "text_key", "n_words", "words_sha256").join(first, "text_key", "left").join(cut.withColumnRenamed("n_removed", "removed").withColumnRenamed("kept", "rest").withColumnRenamed("kept_sha256", "rest_sha256"), ["doc_id", "text_key"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     return light.select(
