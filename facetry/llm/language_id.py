@@ -7,81 +7,96 @@ segmentations of a word. A text's score is the sum of its words' log scores.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Memo, slices, small, tokenizer_path
+from ._shared import kept, slices, small, tokenizer_path
 
 #: Training sample: at most so many documents of a language, each of at most so many characters, taken whole; rounds of fitting.
 DOCUMENTS, CHARACTERS, ROUNDS = 300, 20_000, 3
-LONGEST_PIECE, LONGEST_WORD = 8, 32
 #: Words of evidence that decide a score; more words leave it as sure.
 EVIDENCE = 20
+#: Log probability of a letter that is no piece by itself.
+UNKNOWN = float(np.log(1e-7))
+#: Letters of a group of words that are scored together, about.
+GROUP = 1 << 16
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_local: dict[str, "Scorer"] = {}
+#: Letters are those of the Unicode category L: no digits, marks or letter-like numbers.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def vocabulary(path: str) -> list[str]:
-    """Lower-case letter pieces of the public vocabulary, of bounded length."""
+    """Lower-case letter pieces of the public vocabulary."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size()) if not sp.is_byte(i)}
-    return sorted(p for p in found if p and len(p) <= LONGEST_PIECE and _LETTERS.fullmatch(p))
+    return sorted(p for p in found if _LETTERS.fullmatch(p))
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-case runs of letters; longer runs in parts."""
-    found = _LETTERS.findall((text or "").lower())
-    return found if max(map(len, found), default=0) <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+    """Lower-case runs of letters."""
+    return _LETTERS.findall((text or "").lower())
 
 
 class Pieces:
-    """Numbers of the pieces at every place of many words at once."""
+    """The pieces as a trie in arrays, which many words of one length are walked through at once."""
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
-        keys = np.array([self._key(p) for p in pieces], np.uint64)
+        nodes: dict[tuple[int, int], int] = {}
+        number = [-1]
+        for k, piece in enumerate(pieces):
+            at = 0
+            for c in piece:
+                key = at, ord(c)
+                if key not in nodes:
+                    nodes[key] = len(number)
+                    number.append(-1)
+                at = nodes[key]
+            number[at] = k
+        keys = np.array([a << 21 | c for a, c in nodes], np.int64)
         order = np.argsort(keys)
-        self.keys, self.order = keys[order], order
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("pieces can't be told apart by their keys")
-
-    @staticmethod
-    def _key(p: str) -> int:
-        h = 0
-        for c in p:
-            h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
-
-    def spans(self, group: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        """(start, end, piece number of each word or -1) for words of one length."""
+        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.number = np.array(number, np.int64)
+
+    def spans(self, group: list[str]):
+        """(start, end, words, their pieces) for words of one length, ascending by start; and, where a letter is no
+        piece by itself, (start, start + 1, words, None)."""
         n = len(group[0])
-        codes = np.array(group, f"U{n}").view(np.uint32).reshape(len(group), n).astype(np.uint64) + np.uint64(1)
-        out = []
+        codes = np.array(group, f"U{n}").view(np.uint32).reshape(len(group), n).astype(np.int64)
         for i in range(n):
-            h = np.zeros(len(group), np.uint64)
-            for j in range(i, min(n, i + LONGEST_PIECE)):
-                h = h * _BASE + codes[:, j]
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                out.append((i, j + 1, np.where(self.keys[at] == h, self.order[at], -1)))
-        return out
-
-
-def _forward(spans, p: np.ndarray, unknown: float, count: int, n: int) -> np.ndarray:
-    """Probability of each prefix, (n + 1, words, languages); p: piece probabilities, the last row for no piece: 0."""
-    a = np.zeros((n + 1, count, p.shape[1]))
-    a[0] = 1
-    for i, j, k in spans:
-        a[j] += a[i] * p[k]
-        if j == i + 1:
-            a[j] += a[i] * (k < 0)[:, None] * unknown
+            alive, node = np.arange(len(group)), np.zeros(len(group), np.int64)
+            for j in range(i, n):
+                if not len(alive) or not len(self.keys):
+                    if j == i:
+                        yield i, j + 1, np.arange(len(group)), None
+                    break
+                key = node << 21 | codes[alive, j]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                here = self.keys[at] == key
+                if j == i:
+                    first = np.where(here, self.number[self.child[at]], -1)
+                    bare = np.flatnonzero(first < 0)
+                    if len(bare):
+                        yield i, j + 1, bare, None
+                alive, node = alive[here], self.child[at[here]]
+                got = self.number[node]
+                ends = got >= 0
+                if ends.any():
+                    yield i, j + 1, alive[ends], got[ends]
+
+
+def _forward(spans, logs: np.ndarray, count: int, n: int) -> np.ndarray:
+    """Log probability of each prefix, (n + 1, words, languages), summed over all its segmentations."""
+    a = np.full((n + 1, count, logs.shape[1]), -np.inf)
+    a[0] = 0
+    for i, j, at, k in spans:
+        a[j][at] = np.logaddexp(a[j][at], a[i][at] + (UNKNOWN if k is None else logs[k]))
     return a
 
 
@@ -90,91 +105,93 @@ def _by_length(group: list[str]):
     for at, w in enumerate(group):
         by.setdefault(len(w), []).append(at)
     for n, at in by.items():
-        for lo in range(0, len(at), 4096):
-            yield n, at[lo : lo + 4096]
+        step = max(1, GROUP // n)
+        for lo in range(0, len(at), step):
+            yield n, at[lo : lo + step]
 
 
 def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities, a column for each language in sorted order, a last row of zeros. counts: language -> word -> n."""
+    """Piece probabilities, a column for each language in sorted order. counts: language -> word -> n."""
     index, languages = Pieces(pieces), sorted(counts)
     group = sorted({w for c in counts.values() for w in c})
     weight = np.array([[counts[x].get(w, 0.0) for x in languages] for w in group]).reshape(len(group), len(languages))
-    p = np.vstack([np.full((len(pieces), len(languages)), 1 / max(1, len(pieces))), np.zeros((1, len(languages)))])
-    unknown = 1e-7
+    p = np.full((len(pieces), len(languages)), 1 / max(1, len(pieces)))
     for _ in range(rounds):
-        expected = np.full((len(pieces) + 1, len(languages)), 0.01)
+        expected, logs = np.full(p.shape, 0.01), np.log(p)
         for n, at in _by_length(group):
             some = [group[i] for i in at]
-            spans = index.spans(some)
-            a = _forward(spans, p, unknown, len(some), n)
-            b = np.zeros_like(a)
-            b[n] = 1
-            share = weight[at] / np.maximum(a[n], 1e-300)
-            for i, j, k in reversed(spans):
-                use = p[k] * b[j]
-                b[i] += use
-                if j == i + 1:
-                    b[i] += (k < 0)[:, None] * unknown * b[j]
-                got = a[i] * use * share
-                for x in range(len(languages)):
-                    expected[:, x] += np.bincount(k + 1, got[:, x], len(pieces) + 1)[np.r_[1 : len(pieces) + 1, 0]]
-        expected[-1] = 0
+            spans = list(index.spans(some))
+            a = _forward(spans, logs, len(some), n)
+            b = np.full_like(a, -np.inf)
+            b[n] = 0
+            for i, j, w, k in reversed(spans):
+                use = b[j][w] + (UNKNOWN if k is None else logs[k])
+                b[i][w] = np.logaddexp(b[i][w], use)
+                if k is not None:
+                    got = np.exp(a[i][w] + use - a[n][w]) * weight[at][w]
+                    for x in range(len(languages)):
+                        expected[:, x] += np.bincount(k, got[:, x], len(pieces))
         p = expected / expected.sum(0)
     return p
 
 
 class Scorer:
-    """Log probabilities of texts in each language; chunks between white space are kept as rows of a bounded table."""
+    """Log probabilities of texts in each language; of chunks between white space, the latest are kept in a table."""
+
+    #: Bytes of the kept chunks, about, and the most characters of one.
+    MOST, LONGEST = 64 << 20, 64
 
-    def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray, memo: int = 700_000):
-        self.languages, self.index, self.p = languages, Pieces(pieces), p
-        self.rows = Memo(memo)
+    def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray):
+        self.languages, self.index, self.logs = languages, Pieces(pieces), np.log(p)
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
         # Per chunk: its number of words, and its log probability in each language.
-        self.table = np.zeros((0, len(languages) + 1))
+        self.table = np.zeros((4096, len(self.languages) + 1))
+        self.used = self.bytes = 0
 
     def word_scores(self, group: list[str]) -> np.ndarray:
         out = np.zeros((len(group), len(self.languages)))
         for n, at in _by_length(group):
             some = [group[i] for i in at]
-            out[at] = np.log(np.maximum(_forward(self.index.spans(some), self.p, 1e-7, len(some), n)[n], 1e-300))
+            out[at] = _forward(self.index.spans(some), self.logs, len(some), n)[n]
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
+    def chunk_scores(self, chunks: list[str]) -> np.ndarray:
+        """Per chunk its number of words and the sum of their log probabilities."""
         parts = [words(c) for c in chunks]
         flat = [w for x in parts for w in x]
-        distinct = sorted(set(flat))
+        distinct = list(dict.fromkeys(flat))
         at = {w: i for i, w in enumerate(distinct)}
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
         each = self.word_scores(distinct)[np.fromiter((at[w] for w in flat), np.int64, len(flat))]
-        sums = np.vstack([np.zeros((1, len(self.languages))), np.cumsum(each, 0)])
-        ends = np.cumsum(counts)
-        first = len(self.rows)
-        fresh = np.column_stack([counts, sums[ends] - sums[ends - counts]])
-        self.table = np.vstack([self.table[:first], fresh])
-        self.rows.update(zip(chunks, range(first, first + len(chunks))))
-
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        """The table's row of each chunk; what isn't known is learned, all together."""
-        got = list(map(self.rows.get, chunks))
-        if None in got:
-            fresh = {c for c, r in zip(chunks, got) if r is None}
-            if self.rows and len(self.rows) + len(fresh) > self.rows.limit:
-                self.rows.clear()
-                fresh = set(chunks)
-            self._learn(list(fresh))
-            got = list(map(self.rows.get, chunks))
-        return np.fromiter(got, np.int64, len(got))
+        return np.column_stack([list(map(len, parts)), _sums(each, [len(x) for x in parts])])
+
+    def _rows(self, chunks: list[str]) -> np.ndarray:
+        """The rows of the table for each chunk; what isn't known is scored, all together."""
+        fresh = list({c for c in chunks if c not in self.rows})
+        if fresh and self.bytes > self.MOST:
+            self.forget()
+            fresh = list(set(chunks))
+        if fresh:
+            first, self.used = self.used, self.used + len(fresh)
+            if self.used > len(self.table):
+                grown = np.zeros((max(self.used, 2 * len(self.table)), self.table.shape[1]))
+                grown[:first] = self.table[:first]
+                self.table = grown
+            self.table[first : self.used] = self.chunk_scores(fresh)
+            self.rows.update(zip(fresh, range(first, self.used)))
+            self.bytes += sum(200 + 8 * self.table.shape[1] + 2 * len(c) for c in fresh)
+        out = self.table[np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))]
+        for c in fresh:
+            if len(c) > self.LONGEST:
+                del self.rows[c]
+        return out
 
     def predict(self, texts: list[str | None]):
-        """(language, score) of each text."""
+        """(language, score) of each text; a text's sums depend on nothing beside it."""
         chunks = [(t or "").split() for t in texts]
-        flat = [c for x in chunks for c in x]
-        numbers = self._numbers(flat)
-        table = self.table[numbers]
-        ends = np.cumsum([len(x) for x in chunks])
-        sums = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(table, 0)])
-        got = sums[ends] - sums[np.r_[0, ends[:-1]]]
-        for row in got:
+        for row in _sums(self._rows([c for x in chunks for c in x]), [len(x) for x in chunks]):
             n, logs = round(row[0]), row[1:]
             if not n or not self.languages:
                 yield UNDETERMINED, 0.0
@@ -184,6 +201,16 @@ class Scorer:
             yield self.languages[best], float(1 / np.exp(tempered - tempered[best]).sum())
 
 
+def _sums(rows: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Sums of consecutive groups of rows, each group by itself in the order of its rows."""
+    sizes = np.asarray(sizes, np.int64)
+    out = np.zeros((len(sizes), rows.shape[1]))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, model_file: str | None = None, documents: int = DOCUMENTS, characters: int = CHARACTERS) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, pieces, probabilities) from a bounded sample of labelled rows: `documents` of each language, taken by
     a hash of the id among those of at most `characters`, which are read whole. The sample's bound is the same for every size of the table."""
@@ -218,10 +245,7 @@ def predicted(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "t
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        if _local.get("key") != key:
-            _local.update(key=key, scorer=Scorer(*shared.value))
-        scorer = _local["scorer"]
-        scorer.rows.focus()
+        scorer = kept(("language", key), lambda: Scorer(*shared.value))
         for b in small(batches):
             texts = b.column(1).to_pylist()
             got = [x for lo, hi in slices([len(t or "") for t in texts], 1 << 20) for x in scorer.predict(texts[lo:hi])]
