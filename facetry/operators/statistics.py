@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import storage
 from . import distances
 
 
@@ -123,18 +124,34 @@ def bitmask(rows: DataFrame, flag: str) -> DataFrame:
     return rows.agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(flag).cast("int"))), F.lit(0).cast("long")).alias("mask"))
 
 
+def _running(rows: DataFrame, by: tuple[str, ...], order: str, sums: dict[str, str]) -> DataFrame:
+    """`rows` with running sums (name: column) in the order of `order` within each group of `by`.
+
+    Rows are dealt into ranges, summed in each, and the sums of earlier ranges of a group added: a row for each range
+    and group is all that one task sees of the whole.
+    """
+    spread = storage.written(rows.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = spread.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = spread.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()]).join(before, [*by, "_part"])
+    return out.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "x", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, n1, n2, d, critical, same) of the two-sample Kolmogorov-Smirnov test at 5 %.
 
-    Counts are summed for each distinct value before they are ordered, so ties and hot values are one row each. Running
-    sums are taken in one window for each group of `by`; without groups the distinct values go through one task.
+    Counts are summed for each distinct value before they are ordered, so ties and hot values are one row each; the
+    distinct values' running sums are taken range by range.
     """
     count = lambda df, i: df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"), F.lit(i).alias("s"))
     each = count(a, 1).unionByName(count(b, 2)).groupBy(*by, "x").agg(*[F.sum((F.col("s") == i).cast("long")).alias(f"c{i}") for i in (1, 2)])
-    w = Window.partitionBy(*by)
-    run = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    steps = each.select(*by, *[(F.sum(f"c{i}").over(run)).alias(f"r{i}") for i in (1, 2)], *[F.sum(f"c{i}").over(w).alias(f"n{i}") for i in (1, 2)])
-    out = steps.groupBy(*by, "n1", "n2").agg(F.max(F.abs(F.try_divide("r1", "n1") - F.try_divide("r2", "n2"))).alias("d"))
+    steps = _running(each, by, "x", {"r1": "c1", "r2": "c2"})
+    # The running sums end in the whole ones.
+    whole = steps.groupBy(*by).agg(F.max("r1").alias("n1"), F.max("r2").alias("n2"))
+    joined = steps.join(F.broadcast(whole), list(by)) if by else steps.crossJoin(F.broadcast(whole))
+    out = joined.groupBy(*by, "n1", "n2").agg(F.max(F.abs(F.try_divide("r1", "n1") - F.try_divide("r2", "n2"))).alias("d"))
     critical = 1.36 * F.sqrt((F.col("n1") + F.col("n2")) / (F.col("n1") * F.col("n2")))
     return out.withColumn("critical", critical).withColumn("same", F.col("d") <= F.col("critical"))
 
@@ -195,7 +212,7 @@ def fit_models(facet: DataFrame, value: str = "vector", limit: float = 0.05) ->
     functions; the empirical one, as quantiles, where none is within `limit`.
 
     All values count, whatever the table's size: the distance is taken over the counts of distinct values, with their
-    running sums in one window for each dimension. A few numbers for each dimension come to the driver.
+    running sums range by range. A few numbers for each dimension come to the driver.
     """
     spark, cells = facet.sparkSession, components(facet, value)
     dims = [r["dim"] for r in cells.select("dim").distinct().collect()]
@@ -206,8 +223,9 @@ def fit_models(facet: DataFrame, value: str = "vector", limit: float = 0.05) ->
         F.avg(log).alias("log_mean"), F.stddev_pop(log).alias("log_sd"),
     )
     of = {r["dim"]: r.asDict() for r in measures.collect()}
-    w = Window.partitionBy("dim")
-    steps = held.groupBy("dim", "x").agg(F.count("*").alias("c")).select("dim", "x", "c", F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("r"), F.sum("c").over(w).alias("n"))
+    counted = held.groupBy("dim", "x").agg(F.count("*").alias("c"))
+    whole = F.broadcast(measures.select("dim", "n"))
+    steps = storage.written(_running(counted, ("dim",), "x", {"r": "c"}).join(whole, "dim"), "steps")
     for r in _knots(steps).collect():
         of[r["dim"]]["knots"] = r["knots"]
     if of:

@@ -303,15 +303,23 @@ def read_parquet(spark: SparkSession, paths: list[str], converter: str = "HFEMBE
 
 
 def dense(rows: DataFrame, *order: str) -> DataFrame:
-    """`rows` with ordinals from 0 in the order of the columns, numbered by partitions: one shuffle, no single task."""
+    """`rows` with ordinals from 0 in the order of the columns: one shuffle into ranges, no single task.
+
+    Ranges and places within them are written before they are counted, so that a task that runs again, or a stage whose
+    partitions are merged, changes no number.
+    """
     from pyspark.sql import Window
 
-    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    spread = storage.written(ranges, "dense")
+    # The upper bits are the partition, the lower 33 the place in it.
+    part = F.shiftright("_id", 33)
+    # One row for each partition.
+    counts = spread.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", before.alias("_before"))
-    return spread.withColumn("_local", local).join(F.broadcast(starts), "_part").withColumn("ordinal", (F.col("_before") + F.col("_local")).cast("long")).drop("_part", "_before", "_local")
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return spread.join(F.broadcast(starts), part == F.col("_part")).withColumn("ordinal", (F.col("_before") + place).cast("long")).drop("_part", "_before", "_id")
 
 
 def ordered_groups(paths: list[str]) -> list[list[str]]:
