@@ -15,6 +15,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import kept, slices, small, tokenizer_path
 
@@ -235,23 +236,25 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, model_
     return sorted(counts), pieces, fit(counts, pieces)
 
 
-def predicted(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text by a model of train().
+def predicted(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) of every whole text by a model of train(), and the columns named in `keep`.
 
     `und` and 0 where the text is null or has no letter, or where nothing was learned. Each row gives a row, repeated
     and null ids too; equal scores go to the first language in sorted order. Other columns are not read.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    names = ["doc_id", "lang_pred", "score", *keep]
 
     def run(batches):
         scorer = kept(("language", key), lambda: Scorer(*shared.value))
         for b in small(batches):
             texts = b.column(1).to_pylist()
             got = [x for lo, hi in slices([len(t or "") for t in texts], 1 << 20) for x in scorer.predict(texts[lo:hi])]
-            yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=schema)
+            yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *b.columns[2:]], names=names)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[docs.schema[c] for c in keep]])
+    return rows.mapInArrow(run, kinds)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -91,3 +91,17 @@ def test_two_texts_of_one_id_are_cut_each_by_itself(spark):
     got = sorted((r["doc_id"], r["text"] or "", r["n_chars"] or 0) for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect())
     want = [(1, repeat), (2, clean), (3, ""), (3, part), (3, part)]
     assert got == [(i, t, len(t)) for i, t in want]
+
+
+def test_language_is_judged_row_by_row(spark):
+    """Rows of one id, rows without an id, repeated rows and columns of the stage's own names."""
+    good = "the of and that with for this have from " * 5
+    rows = [(1, good, "en"), (1, "12 34", "en"), (2, None, "en"), (None, good, "en"), (None, "!!!", None), (None, None, None), (3, good, "en"), (3, good, "en"), (4, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_x", F.lit(1)).withColumn("score", F.lit(0.0))
+    got = corpus_pipeline.detect_language(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] == good) for r in got.collect()) == [("1", True), ("3", True), ("3", True), ("None", True)]
+    left = corpus_pipeline.drop_near_duplicates(spark, got, SF)
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "None"]
+    cut = corpus_pipeline.cut_repeats(spark, left.withColumn("n_chars", F.length("text").cast("long")), SF)
+    assert cut.count() == 2 and corpus_pipeline.pack(spark, cut, SF).count() == 2
