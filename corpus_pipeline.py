@@ -1,6 +1,9 @@
 """The corpus pipeline: language ID, near-duplicates, repeated passages, packing.
 
-Each stage takes all documents that the one before it kept; it is written as Parquet and read again between stages.
+Each stage takes all documents that the one before it kept; it is written as Parquet and read again between stages. An
+empty table stays empty. Rows of one id are one document for near-duplicates (all of them stay or go, with the smallest
+id of their group); language and passages are judged row by row. Rows without an id have no near-duplicates and are
+nobody's copies. Ties never arise: the smallest id stays. Columns beyond those named are passed on as they are.
 """
 
 from __future__ import annotations
@@ -33,10 +36,17 @@ def _without(docs, judged):
 
 
 def detect_language(spark, docs, sf_dir):
-    """Keeps documents with letters whose language is recognised; `lang` stays as it was."""
+    """Keeps documents with letters whose language is recognised; `lang` stays as it was.
+
+    Each row is judged by its own text, rows of one id and rows without an id too. The rows that go are written first,
+    as the id and a hash of the text: small enough, as a rule, to be sent to the documents instead of shuffling those.
+    """
     model = language_id.train(docs.where(~language_id.held_out()), "doc_id", "text", "lang")
-    good = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return _without(docs, language_id.predicted(docs, model).select("doc_id", good.alias("kept")))
+    bad = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LEAST_SCORE)
+    judged = language_id.predicted(docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")), model, keep=("_hash",))
+    gone = written(judged.where(bad).select(F.col("doc_id").alias("_gone"), F.col("_hash").alias("_text")), "gone")
+    here = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_text"))
+    return docs.join(gone, here, "left_anti").select(_columns(docs))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
