@@ -18,8 +18,12 @@ class TagFilter:
 
     @staticmethod
     def parse(spec: str | None) -> TagFilter:
+        """An empty spec has no conditions. Another word than all, any or none before brackets raises; brackets with
+        nothing in them are part of a key, as in `any()`."""
         text = _unquoted((spec or "").strip())
-        m = re.fullmatch(r"(?i)\s*(all|any|none)\s*\((.*)\)\s*", text, re.S)
+        m = re.fullmatch(r"\s*(\w+)\s*\((.+)\)\s*", text, re.S)
+        if m and m[1].lower() not in ("all", "any", "none"):
+            raise ValueError(f"a filter is all(...), any(...) or none(...): {spec!r}")
         mode, body = (m[1].lower(), m[2]) if m else ("all", text)
         out: dict[str, str | None] = {}
         for part in re.split(r", *", body) if body else []:
@@ -57,8 +61,11 @@ class TagFilter:
         return {"all": hits == n, "any": hits > 0, "none": hits == 0}[self.mode]
 
 
+_QUOTED = re.compile(r"""'([^']+|)'|"([^"]+|)\"""", re.S)
+
+
 def _unquoted(text: str) -> str:
-    for q in "'\"":
-        if len(text) > 1 and text[0] == q and text.find(q, 1) == len(text) - 1:
-            text = text[1:-1]
+    """`text` without the quotes around it; one kind may stand within the other."""
+    while found := _QUOTED.fullmatch(text):
+        text = found[found.lastindex]
     return text

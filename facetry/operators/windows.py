@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from ..functions.units import count, short_count
 
 
+_COUNT = r"(?:MAX|\d[\d_]*(?:\.\d+)?(?:[eE]\d+)?(?:\s*\^\s*\d+)?\s*[a-zA-Z]*)"
+_INTERVAL = re.compile(rf"\s*(?P<open>[\[(])?\s*(?P<first>{_COUNT})(?:\s*(?:\.\.|[→,-])\s*(?P<last>{_COUNT}))?\s*(?P<close>[\])])?\s*")
+
+
 @dataclass(frozen=True)
 class Interval:
     """Ordinals from `lo` up to, without, `hi`."""
@@ -24,21 +28,18 @@ class Interval:
     @staticmethod
     def parse(text: str) -> Interval:
         """`1M`, `0..1000` (closed), `[0..1000)`, `(5..10)`, `[7]`; the ends may be set apart by `..`, `→`, `-` or `,`."""
-        body = text.strip() if text else ""
-        if not body:
+        found = _INTERVAL.fullmatch(text or "")
+        if found is None:
             raise ValueError(f"no interval: {text!r}")
-        wrapped = body[0] in "[(" and body[-1] in "])"
-        opens, closes = body[0], body[-1]
-        inner = body[1:-1].strip() if wrapped else body
-        mark = next((m for m in ("..", "→", "-", ",") if m in inner), None)
-        ends = [count(x) for x in (inner.split(mark, 1) if mark else [inner])]
-        if len(ends) == 1:
-            if wrapped and (opens, closes) != ("[", "]"):
-                raise ValueError(f"a single ordinal is written [n]: {text!r}")
-            return Interval(ends[0], ends[0] + 1) if wrapped else Interval(0, ends[0])
-        lo = ends[0] + (wrapped and opens == "(")
-        hi = ends[1] + (not wrapped or closes == "]")
-        return Interval(lo, hi)
+        opening, first, last, closing = found.group("open", "first", "last", "close")
+        match (opening, closing, last):
+            case (None, None, None):
+                return Interval(0, count(first))
+            case ("[", "]", None):
+                return Interval(count(first), count(first) + 1)
+            case (None, None, _) | ("[" | "(", "]" | ")", str()):
+                return Interval(count(first) + (opening == "("), count(last) + (closing != ")"))
+        raise ValueError(f"brackets come in pairs, and a single ordinal is written [n]: {text!r}")
 
     @staticmethod
     def of(data) -> Interval:

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from facetry.plans import registry, stores  # noqa: F401
+from facetry.plans import facets, registry, stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

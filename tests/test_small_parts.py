@@ -65,6 +65,15 @@ def test_tag_filters(spark):
     assert spark.sql("select cast(null as map<string,string>) tags").select(TagFilter.parse("none(a)").column(F.col("tags"))).first()[0]
 
 
+def test_words_before_brackets():
+    for bad in ("some(k)", "k(v)", " not( a:b ) "):
+        with pytest.raises(ValueError):
+            TagFilter.parse(bad)
+    assert TagFilter.parse("any()") == TagFilter("all", {"any()": None})
+    assert TagFilter.parse("any(a:'1|2', b)") == TagFilter("any", {"a": "1|2", "b": None})
+    assert TagFilter.parse("k:(a|b)") == TagFilter("all", {"k": "(a|b)"})
+
+
 @pytest.mark.parametrize("text, lo, hi", [("1M", 0, 10**6), ("0..1000", 0, 1001), ("0..1_000", 0, 1001), ("0..1M", 0, 10**6 + 1), ("[0..1000)", 0, 1000), ("[0..100]", 0, 101), ("(5..10)", 6, 10), ("[7]", 7, 8), ("[0→10]", 0, 11), ("[0-10)", 0, 10), ("(100,1000)", 101, 1000)])
 def test_intervals(text, lo, hi):
     assert W.Interval.parse(text) == W.Interval(lo, hi)
