@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import sys
 import tempfile
 import uuid
 
@@ -100,44 +99,44 @@ def kept(key, make=lambda: True):
 
 
 class Memo:
-    """Values of strings, in two generations of at most `most` bytes each: what is used stays, what isn't used for a
+    """Values of strings, in two generations of about `most` bytes each: what is used stays, what isn't used for a
     generation goes. Strings of over LONGEST characters are computed each time.
 
-    `compute` gives the values of a list of strings. lookup() is for the strings of a bounded part of the input.
+    `compute` gives the values of a list of strings; an entry is taken to hold `each` bytes and 6 for each character.
+    lookup() is for the strings of a bounded part of the input.
     """
 
     LONGEST = 64
 
-    def __init__(self, compute, most: int = 48 << 20):
-        self.compute, self.most = compute, most
+    def __init__(self, compute, most: int = 96 << 20, each: int = 180):
+        self.compute, self.most, self.each = compute, most, each
         self.new, self.old, self.bytes, self.passing = {}, {}, 0, []
 
-    def lookup(self, keys) -> dict:
-        """A table that has all of `keys`, until the next call."""
+    def lookup(self, lists) -> dict:
+        """A table that has all strings of the lists, until the next call."""
         for k in self.passing:
             self.new.pop(k, None)
         self.passing = []
         if self.bytes > self.most:
             self.old, self.new, self.bytes = self.new, {}, 0
-        missing = [k for k in set(keys) if k not in self.new]
-        fresh = []
-        for k in missing:
-            v = self.old.get(k)
-            if v is None:
-                fresh.append(k)
-            else:
-                self._hold(k, v)
-        for k, v in zip(fresh, self.compute(fresh) if fresh else ()):
-            self._hold(k, v)
+        fresh = self.unknown(set().union(*lists))
+        if fresh:
+            self.hold(dict(zip(fresh, self.compute(fresh))))
         return self.new
 
-    def _hold(self, key: str, value) -> None:
-        self.new[key] = value
-        if len(key) > self.LONGEST:
-            self.passing.append(key)
-        else:
-            # An entry's share of the table, and its objects.
-            self.bytes += 100 + sys.getsizeof(key) + sum(map(sys.getsizeof, value if isinstance(value, tuple) else (value,)))
+    def unknown(self, keys: set) -> list:
+        """Those of `keys` that are in neither generation; what the old one has comes to the new one."""
+        missing = keys.difference(self.new)
+        again = self.old.keys() & missing
+        if again:
+            self.hold({k: self.old[k] for k in again})
+            missing -= again
+        return list(missing)
+
+    def hold(self, entries: dict) -> None:
+        self.new.update(entries)
+        self.passing += [k for k in entries if len(k) > self.LONGEST]
+        self.bytes += self.each * len(entries) + 6 * sum(map(len, entries))
 
 
 def slices(lengths, most: int):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
-import numpy as np
+import regex
 
 from ._shared import Memo, kept, slices
 
@@ -13,34 +15,64 @@ from ._shared import Memo, kept, slices
 _RUN = re.compile(r"\s\s")
 #: Where a stretch ends in a text with such runs: at single spaces and line feeds between other characters.
 _BORDER = re.compile(r"(?<=\S)(?= \S|\n\S)|(?<=\S\n)(?=\S)")
+_LETTERS = regex.compile(r" ?\p{L}+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else one from
+    U+0100 on, in the order of the bytes."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
 
 class ByteBPE:
     """The tokenizers library's ids, as little-endian unsigned 32-bit integers.
 
     The vocabulary's pattern ends a pretoken before every single space and around every single line feed, so the
-    stretches between them are encoded independently. A run of white space stays within a stretch.
+    stretches between them are encoded independently. A run of white space stays within a stretch. A run of letters at
+    the start of a stretch is a pretoken by itself, which the library's model takes without a search for others.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo = Memo(self._encode)
+        self.memo = Memo(self._encode, most)
         if self.library.get_vocab_size() > 1 << 32:
             raise ValueError("ids don't fit 32 bits")
+        if array("I", [1]).tobytes() != b"\1\0\0\0":
+            raise ValueError("a little-endian machine is needed")
+        form = json.loads(self.library.to_str())
+        pre = form["pre_tokenizer"] or {}
+        if form["normalizer"] or form["truncation"] or form["padding"] or (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space")) != ("ByteLevel", True, False):
+            raise ValueError("a byte-level vocabulary with its own pattern and without a normalizer is needed")
+        if any(_LETTERS.fullmatch(t["content"]) or _RUN.search(t["content"]) or " " in t["content"][1:] or "\n" in t["content"] for t in form["added_tokens"]):
+            raise ValueError("added tokens of letters or with white space aren't supported")
+        self.tokenize, self.letters = self.library.model.tokenize, _byte_letters()
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for lo, hi in slices([len(p) for p in parts], 1 << 14):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts[lo:hi], add_special_tokens=False)]
-        return out
+        """Ids of stretches that the memo lacks, from the letters at their start and what follows those."""
+        ends = [m.end() if m else 0 for m in map(_LETTERS.match, parts)]
+        heads = [p[:e] for p, e in zip(parts, ends)]
+        tails = [p[e:] for p, e in zip(parts, ends)]
+        known = {}
+        for p in self.memo.unknown(set(heads)):
+            known[p] = array("I", [t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes() if p else b""
+        fresh = [p for p in self.memo.unknown({*tails, ""}) if p not in known]
+        for lo, hi in slices([len(p) for p in fresh], 1 << 14):
+            found = self.library.encode_batch_fast(fresh[lo:hi], add_special_tokens=False)
+            known.update(zip(fresh[lo:hi], [array("I", e.ids).tobytes() for e in found]))
+        self.memo.hold(known)
+        get = self.memo.new.__getitem__
+        return [get(h) + get(t) for h, t in zip(heads, tails)]
 
     def ids(self, texts: list[str | None]):
         """The ids of each whole text; a null text has none."""
-        for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
+        for lo, hi in slices([len(t or "") for t in texts], 1 << 18):
             parts = [self._parts(t) for t in texts[lo:hi]]
-            get = self.memo.lookup({p for x in parts for p in x}).__getitem__
+            get = self.memo.lookup(parts).__getitem__
             for x in parts:
                 yield b"".join(map(get, x))
 

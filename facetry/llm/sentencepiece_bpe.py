@@ -202,7 +202,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, memo: int = 48 << 20) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, memo: int = 64 << 20) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids as text and of the decoded text; null text: empty.
 
     The same encoder as encoded(), a pretoken's ids and decoded bytes kept in a bounded memo of each process, so that
@@ -219,13 +219,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 yield "".join([f"{i}," for i in ids]), len(ids), table.decode_bytes(ids)
 
         if table.memo is None:
-            table.memo = Memo(parts_of, memo)
+            table.memo = Memo(parts_of, memo, 330)
         for b in small(batches):
             texts = b.column(1).to_pylist()
             count, sha, back = [], [], []
             for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
                 split = [table.pretokens(t or "") for t in texts[lo:hi]]
-                store = table.memo.lookup({p for x in split for p in x})
+                store = table.memo.lookup(split)
                 for parts in split:
                     h, g, n, rest, skip = hashlib.sha256(), hashlib.sha256(), 0, "", True
                     for at in range(0, len(parts), 1 << 16):
