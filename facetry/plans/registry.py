@@ -472,9 +472,12 @@ def json_select(spark, sf_dir):
 # --- generators ----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("select i tenth, 32000::bigint n, true near from range(10) t(i)")
 def generate_vectors(spark, sf_dir):
-    return statistics.describe(generators.random_vectors(spark, 10_000, 32))
+    """Components of uniform vectors by tenths of their range: each is near a tenth of all."""
+    x = windows.flattened(generators.random_vectors(spark, 10_000, 32)).select(F.col("vector").cast("double").alias("x")).where("x >= 0 and x < 1")
+    counts = x.groupBy(F.floor(F.col("x") * 10).cast("long").alias("tenth")).agg(F.count("*").alias("c"))
+    return counts.select("tenth", (F.round(F.col("c") / 2000) * 2000).cast("long").alias("n"), (F.abs(F.col("c") - 32_000) < 1_000).alias("near"))
 
 
 @query("select 10000::bigint \"rows\", 500::bigint zeros, true copies")
@@ -494,7 +497,10 @@ def model_fit(spark, sf_dir):
     return statistics.fit_models(_base(spark, sf_dir)).select("dim", "family", F.round("distance", 4).alias("distance"))
 
 
-@query()
+@query(f"select distinct dim, 5000::bigint n, true near from ({_UNNESTED})")
 def generate_from_model(spark, sf_dir):
+    """Values drawn from each dimension's model: their number, and whether their mean is near that of the values it was fitted on."""
     models = statistics.fit_models(_base(spark, sf_dir))
-    return statistics.dimension_stats(generators.from_models(spark, models, 5_000)).select("dim", "n")
+    of = statistics.dimension_stats(_base(spark, sf_dir)).select("dim", F.col("mean").alias("m"), F.sqrt("variance").alias("s"))
+    drawn = statistics.dimension_stats(generators.from_models(spark, models, 5_000)).join(F.broadcast(of), "dim")
+    return drawn.select("dim", "n", (F.abs(F.col("mean") - F.col("m")) < 0.2 * F.col("s")).alias("near"))
