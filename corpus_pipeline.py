@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facetry.llm import language_id, near_duplicates, packing, repeated_passages
-from facetry.llm._shared import written
+from facetry.llm._shared import release, written
 
 #: Documents whose best language is less sure than this go; a text of any one language is far above it.
 LEAST_SCORE = 0.3
@@ -78,5 +78,8 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        after = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What the stage before left has been read for the last time; the input itself isn't touched.
+        release(docs)
+        docs = after
     return docs
