@@ -1,9 +1,14 @@
 """Vector files, stores, manifests, records and hashes."""
 
 import datetime as dt
+import functools
 import hashlib
+import http.server
 import json
+import os
 import random
+import re
+import threading
 import uuid
 from decimal import Decimal
 
@@ -15,7 +20,7 @@ from facetry.functions import records as R
 from facetry.functions.records import Array, Field, MetadataLayout, Record, Tag, Ulid
 from facetry.operators import integrity as I
 from facetry.operators import predicates as P
-from facetry.sources import datasets, slab, sqlite, xvec
+from facetry.sources import datasets, slab, sqlite, storage, xvec
 
 
 @pytest.mark.parametrize("kind", list(xvec.ELEMENTS))
@@ -278,3 +283,65 @@ def test_catalog_settings(tmp_path):
     assert datasets.catalog_sources(str(tmp_path)) == ([], [])
     (tmp_path / "catalogs.yaml").write_text(json.dumps({"required": ["/a"], "optional": ["/no/such", str(tmp_path)]}))
     assert datasets.catalog_sources(str(tmp_path)) == (["/a"], [str(tmp_path)])
+
+
+class _Ranges(http.server.SimpleHTTPRequestHandler):
+    """A server of byte ranges; paths with `whole` in them are always sent whole."""
+
+    def do_GET(self):
+        path = self.translate_path(self.path)
+        if not os.path.isfile(path):
+            return self.send_error(404)
+        data = open(path, "rb").read()
+        m = re.fullmatch(r"bytes=(\d+)-(\d+)", self.headers.get("Range", ""))
+        if not m or "whole" in self.path:
+            self.send_response(200)
+        elif int(m[1]) >= len(data):
+            self.send_response(416)
+            self.send_header("Content-Range", f"bytes */{len(data)}")
+            data = b""
+        else:
+            last = min(int(m[2]), len(data) - 1)
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {m[1]}-{last}/{len(data)}")
+            data = data[int(m[1]) : last + 1]
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_files_over_http(spark, tmp_path):
+    home = tmp_path / "sets" / "one"
+    home.mkdir(parents=True)
+    vectors = np.arange(300).reshape(100, 3)
+    (home / "base.fvec").write_bytes(xvec.encode(vectors, xvec.ELEMENTS["fvec"]))
+    (home / "whole.fvec").write_bytes((home / "base.fvec").read_bytes())
+    (home / "empty").write_bytes(b"")
+    slab.write(str(home / "m.slab"), [("", i, b"r%d" % i) for i in range(50)], 512)
+    (home / "dataset.yaml").write_text("profiles: {default: {base: base.fvec, content: m.slab}, cut: {base: 'base.fvec[10..20)'}}\n")
+    datasets.Catalog.emit(str(tmp_path / "sets"))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(_Ranges, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}/sets"
+    try:
+        raw = (home / "base.fvec").read_bytes()
+        for name in ("base", "whole"):
+            uri = f"{root}/one/{name}.fvec"
+            assert storage.size(uri) == len(raw) and storage.read_range(uri, 7, 20) == raw[7:27] and storage.read_range(uri, len(raw) - 3, 10) == raw[-3:] and storage.read_range(uri, len(raw) + 5, 4) == b""
+            assert [r["vector"] for r in xvec.read(spark, uri).orderBy("ordinal").collect()] == vectors.tolist()
+        assert storage.size(f"{root}/one/empty") == 0
+        with storage.open_read(f"{root}/one/base.fvec") as f:
+            f.seek(-4, 2)
+            assert f.read() == raw[-4:] and f.tell() == len(raw) and f.read(1) == b""
+        with pytest.raises(OSError):
+            storage.size(f"{root}/none")
+        assert slab.Store.open(f"{root}/one/m.slab").get(33) == b"r33" and slab.read(spark, f"{root}/one/m.slab").count() == 50
+        data, profile = datasets.Catalog.load([root], [f"{root}/no"]).select("one:cut")
+        assert [r["vector"] for r in data.facet(spark, "base", profile).orderBy("ordinal").collect()] == vectors[10:20].tolist()
+        shape = I.Shape.of(len(raw), 1024)
+        assert [r["hash"] for r in I.file_chunks(spark, f"{root}/one/base.fvec", shape).orderBy("chunk").collect()] == [hashlib.sha256(raw[i : i + 1024]).hexdigest() for i in range(0, len(raw), 1024)]
+    finally:
+        server.shutdown()
