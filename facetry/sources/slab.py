@@ -3,14 +3,14 @@
 A page is a header (`SLAB`, size), records without gaps, a zero-filled gap, the offsets of the records (one more than
 there are), and a footer. Pages pages index data pages by first ordinal; a store with other than the default namespace
 ends in a page of namespaces. `spark.read.format("slab").load(path)` gives (namespace, ordinal, data), one partition for
-a run of pages; the options `namespace`, `start` and `end` skip pages.
+a share of a store's pages; the options `namespace`, `start` and `end` skip pages.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -75,6 +75,31 @@ def page_records(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
+def index_of(uri: str) -> dict[str, list[tuple[int, int]]]:
+    """Per namespace the first ordinal and the place of each data page, ascending, from the index pages alone."""
+    n = storage.size(uri)
+    if n < ALIGN:
+        raise ValueError(f"{uri}: too short for a store")
+    with storage.open_read(uri) as f:
+
+        def page(at: int) -> list[bytes]:
+            f.seek(at)
+            head = f.read(HEADER)
+            if head[:4] != MAGIC:
+                raise ValueError(f"{uri}: no page at {at}")
+            return page_records(head + f.read(struct.unpack("<I", head[4:])[0] - HEADER))
+
+        f.seek(n - FOOTER)
+        last = parse_footer(f.read(FOOTER), n)
+        if last.kind == INDEX_PAGE:
+            at = {"": last.at}
+        elif last.kind == NAMESPACE_PAGE:
+            at = {r[2 : 2 + r[1]].decode(): struct.unpack_from("<q", r, 2 + r[1])[0] for r in page(last.at)}
+        else:
+            raise ValueError(f"{uri}: the store has no index at its end")
+        return {ns: sorted(struct.unpack("<qq", r) for r in page(place)) for ns, place in at.items()}
+
+
 @dataclass
 class Store:
     """The page index of a store: per namespace its name and its data pages in order of their first ordinal."""
@@ -84,39 +109,18 @@ class Store:
 
     @staticmethod
     def open(uri: str) -> Store:
-        out, n = Store(uri), storage.size(uri)
+        """The store with what every page's footer says."""
+        out, index = Store(uri), index_of(uri)
         with storage.open_read(uri) as f:
 
-            def page_at(at: int) -> bytes:
-                f.seek(at)
-                head = f.read(HEADER)
-                if head[:4] != MAGIC:
-                    raise ValueError(f"{uri}: no page at {at}")
-                (size,) = struct.unpack("<I", head[4:])
-                return head + f.read(size - HEADER)
-
-            def footer_at(at: int) -> Page:
+            def footer(at: int) -> Page:
                 f.seek(at + 4)
                 (size,) = struct.unpack("<I", f.read(4))
                 f.seek(at + size - FOOTER)
                 return parse_footer(f.read(FOOTER), at + size)
 
-            def data_pages(raw: bytes) -> list[Page]:
-                return sorted((footer_at(struct.unpack("<qq", r)[1]) for r in page_records(raw)), key=lambda p: p.first)
-
-            if n < ALIGN:
-                raise ValueError(f"{uri}: too short for a store")
-            f.seek(n - FOOTER)
-            last = parse_footer(f.read(FOOTER), n)
-            raw = page_at(last.at)
-            if last.kind == INDEX_PAGE:
-                out.pages[""] = data_pages(raw)
-            elif last.kind == NAMESPACE_PAGE:
-                for r in page_records(raw):
-                    length = r[1]
-                    out.pages[r[2 : 2 + length].decode()] = data_pages(page_at(struct.unpack_from("<q", r, 2 + length)[0]))
-            else:
-                raise ValueError(f"{uri}: the store has no index at its end")
+            for ns, entries in index.items():
+                out.pages[ns] = [footer(at) for _, at in entries]
         return out
 
     def namespace(self, name: str | None) -> str:
@@ -362,45 +366,51 @@ def check(uri: str) -> list[tuple[int, str]]:
 # --- as a Spark source ---------------------------------------------------------------------------------------------
 
 
+#: Partitions of one store at most: each reads the store's index, a 4,096th of it with pages of 64 KiB.
+SHARES = 256
+
+
 @dataclass
-class _Pages(InputPartition):
+class _Share(InputPartition):
+    """Of `shares` equal runs of each namespace's pages, the one of this number."""
+
     uri: str
-    namespace: str
-    pages: list
+    number: int
+    shares: int
 
 
 class _Reader(DataSourceReader):
+    """The driver lists stores and their sizes; which pages there are is read where they are read."""
+
     def __init__(self, path: str, options: dict):
-        self.path, self.wanted = path, None
+        self.path, self.wanted = path, options.get("namespace")
         self.lo, self.hi = int(options.get("start", FIRST_ORDINAL)), int(options.get("end", LAST_ORDINAL + 1))
         self.bytes = int(options.get("partitionbytes", 32 << 20))
-        if "namespace" in options:
-            self.wanted = {options["namespace"]}
 
     def partitions(self):
         out = []
         for uri in storage.files(self.path, (".slab",)):
-            for ns, pages in Store.open(uri).pages.items():
-                if self.wanted is None or ns in self.wanted:
-                    run, size = [], 0
-                    for p in pages:
-                        if p.end > self.lo and p.first < self.hi:
-                            if run and size + p.size > self.bytes:
-                                out.append(_Pages(uri, ns, run))
-                                run, size = [], 0
-                            run.append(p)
-                            size += p.size
-                    if run:
-                        out.append(_Pages(uri, ns, run))
+            n = min(SHARES, max(1, -(-storage.size(uri) // self.bytes)))
+            out += [_Share(uri, k, n) for k in range(n)]
         return out
 
-    def read(self, partition) -> Iterator[pa.RecordBatch]:
-        if isinstance(partition, _Pages):
-            with storage.open_read(partition.uri) as f:
-                for p in partition.pages:
-                    f.seek(p.at)
-                    records = page_records(f.read(p.size))
-                    yield pa.record_batch([pa.array([partition.namespace] * len(records), pa.string()), pa.array(range(p.first, p.end), pa.int64()), pa.array(records, pa.binary())], names=["namespace", "ordinal", "data"])
+    def read(self, share) -> Iterator[pa.RecordBatch]:
+        if not isinstance(share, _Share):
+            return
+        with storage.open_read(share.uri) as f:
+            for ns, entries in index_of(share.uri).items():
+                if self.wanted is not None and ns != self.wanted:
+                    continue
+                # Pages that begin at or after the end, or that are followed by one at or before the start, hold none.
+                firsts = [first for first, _ in entries]
+                entries = entries[max(0, bisect_right(firsts, self.lo) - 1) : bisect_left(firsts, self.hi)]
+                k, n = share.number, share.shares
+                for _, at in entries[k * len(entries) // n : (k + 1) * len(entries) // n]:
+                    f.seek(at)
+                    head = f.read(HEADER)
+                    raw = head + f.read(struct.unpack("<I", head[4:])[0] - HEADER)
+                    page = parse_footer(raw[-FOOTER:], at + len(raw))
+                    yield pa.record_batch([pa.array([ns] * page.records, pa.string()), pa.array(range(page.first, page.end), pa.int64()), pa.array(page_records(raw), pa.binary())], names=["namespace", "ordinal", "data"])
 
 
 class SlabSource(DataSource):
