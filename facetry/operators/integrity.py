@@ -175,3 +175,36 @@ def load(uri: str) -> tuple[Shape, list[bytes], set[int]]:
     raw = storage.read_range(uri, 0, n - FOOTER)
     mask = raw[nodes * 32 :]
     return Shape(size, chunk), [raw[i * 32 : i * 32 + 32] for i in range(nodes)], {c for c in range(chunks) if mask[c // 8] >> c % 8 & 1}
+
+
+def summary(uri: str) -> dict:
+    """What a Merkle file says of its content: sizes, chunks, how many are valid, and the root."""
+    shape, nodes, valid_chunks = load(uri)
+    return {"bytes": shape.size, "chunk": shape.chunk, "chunks": shape.chunks, "leaves": shape.leaves, "valid": len(valid_chunks), "root": nodes[0].hex()}
+
+
+def spoil(uri: str, chunks: set[int], hashes: bool = False) -> None:
+    """Take chunks' valid bits out of a Merkle file, and with `hashes` their hashes too (zeros, up to the root)."""
+    shape, nodes, valid_chunks = load(uri)
+    if wrong := sorted(c for c in chunks if not 0 <= c < shape.chunks):
+        raise ValueError(f"{uri} has no chunks {wrong}")
+    if hashes:
+        leaves = nodes[shape.leaves - 1 :]
+        nodes = tree([bytes(32) if i in chunks else h for i, h in enumerate(leaves)])
+    save(uri, shape, nodes, valid_chunks - chunks)
+
+
+def treeview(uri: str, depth: int = 4) -> list[str]:
+    """A line for each node of the uppermost `depth` levels: level, number, the chunks below it, and its hash."""
+    shape, nodes, valid_chunks = load(uri)
+    out, level, first = [], 0, 0
+    while level < depth and first < shape.nodes:
+        width = 1 << level
+        span = shape.leaves // width
+        for i in range(width):
+            below = range(i * span, min((i + 1) * span, shape.chunks))
+            have = sum(c in valid_chunks for c in below)
+            chunks = f"chunks {below.start} to {below.stop - 1}, {have} valid" if len(below) else "no chunks"
+            out.append(f"{'  ' * level}{first + i}: {chunks}, {nodes[first + i].hex()[:16]}")
+        first, level = first + width, level + 1
+    return out

@@ -259,6 +259,12 @@ def fit_models(facet: DataFrame, value: str = "vector", limit: float = 0.05) ->
     return spark.createDataFrame(models, "dim int, family string, parameters array<double>, distance double")
 
 
+def profile(facet: DataFrame, value: str = "vector", limit: float = 0.05) -> DataFrame:
+    """A row for each dimension: the moments of dimension_stats() beside the model of fit_models()."""
+    # Two tables of a row for each dimension.
+    return dimension_stats(facet, value).join(F.broadcast(fit_models(facet, value, limit)), "dim")
+
+
 def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
     """(dim, family_a, family_b, same_family, drift): fitted models side by side; drift is the mean parameter distance."""
     j = a.select("dim", F.col("family").alias("family_a"), F.col("parameters").alias("p")).join(b.select("dim", F.col("family").alias("family_b"), F.col("parameters").alias("q")), "dim", "full")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import literals, records, units
 from ..functions.records import Record, Tag, Ulid
-from ..operators import neighbors, statistics, windows
+from ..operators import integrity, neighbors, statistics, windows
 from ..operators.predicates import all_of, leaf, resolve, solve
 from ..sources import datasets, slab, storage, xvec
+from . import steps
 from .registry import _base, _knn, _KNN_SQL, _solved_sql, _table, query
 from .stores import _store
 
@@ -280,3 +281,55 @@ def sampled_by_size(spark, sf_dir):
     rows = statistics.sampled(some, statistics.sample_size(n, samples=10 * n))
     gap = F.abs(F.col("vector")[0].cast("double") - F.col("vector")[1].cast("double"))
     return rows.agg(F.round(F.avg(gap), 6).alias("mean_gap"), F.count("*").alias("n"))
+
+
+@query(f"select dim, count(*) n, round(avg(x), 6) mean, true modelled from (select generate_subscripts(embedding, 1)::int - 1 dim, unnest(embedding)::double x from embeddings) group by dim")
+def dimension_profiles(spark, sf_dir):
+    """Moments of each dimension beside its model."""
+    return statistics.profile(_base(spark, sf_dir)).select("dim", "n", F.round("mean", 6).alias("mean"), F.col("family").isNotNull().alias("modelled"))
+
+
+@query("select c_custkey::bigint chunk, sha256(c_name) hash, c_custkey % 7 <> 3 valid from customer")
+def merkle_file(spark, sf_dir):
+    """A Merkle file over records' hashes, written, spoiled in every seventh chunk, and loaded."""
+    leaves = xvec.dense(_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.sha2("c_name", 256).alias("hash")), "key")
+    rows = leaves.orderBy("ordinal").collect()
+    uri = f"{storage.shared_folder(spark, 'merkle-file')}/a.mrkl"
+    shape = integrity.Shape.of(1024 * len(rows), 1024)
+    integrity.save(uri, shape, integrity.tree([bytes.fromhex(r["hash"]) for r in rows]))
+    integrity.spoil(uri, {r["ordinal"] for r in rows if r["key"] % 7 == 3})
+    found, nodes, valid = integrity.load(uri)
+    if integrity.summary(uri)["root"] != nodes[0].hex() or len(integrity.treeview(uri, 2)) != 3:
+        raise ValueError(f"{uri} differs from its summary")
+    first = found.leaves - 1
+    return spark.createDataFrame([(r["key"], nodes[first + r["ordinal"]].hex(), r["ordinal"] in valid) for r in rows], "chunk long, hash string, valid boolean")
+
+
+_STREAM = """
+upstream:
+  defaults: {n: "200"}
+  steps:
+    - {id: order, run: generate ivec-shuffle, interval: "${n}", seed: 7, output: order.ivec}
+    - {id: base, run: generate vectors, count: "${n}", dimension: 4, output: base.fvec}
+    - {id: query, run: generate fvec-extract, source: base.fvec, indices: order.ivec, range: "[0..20)", output: query.fvec}
+    - {id: truth, run: compute knn, base: base.fvec, query: query.fvec, neighbors: 3, metric: L2, output: idx.ivec, distances: dst.fvec}
+"""
+
+
+@query("select step, state, turn from (values ('order'), ('base'), ('query'), ('truth')) s(step), (values ('done', 1), ('skipped', 2)) t(state, turn) union all select 'nearest is itself', count(*)::varchar, 3 from range(20)")
+def command_stream(spark, sf_dir):
+    """Steps in the order of their files, all of them skipped the second time; each extracted query's nearest row is itself."""
+    home = storage.shared_folder(spark, "stream").removeprefix("file://")
+    log = [(step, state, turn) for turn in (1, 2) for step, state in steps.run(spark, steps.parse(_STREAM, home=home))]
+    near = xvec.read(spark, f"{home}/dst.fvec").where(F.col("vector")[0] == 0).count()
+    return spark.createDataFrame([*log, ("nearest is itself", str(near), 3)], "step string, state string, turn int")
+
+
+@query("select 'float32' element, max(len(embedding))::bigint dimension, count(*) \"rows\", (count(*) * (4 + 4 * max(len(embedding))))::bigint bytes from embeddings")
+def file_info(spark, sf_dir):
+    """What one vector file of all embeddings says of itself."""
+    home = storage.shared_folder(spark, "info")
+    xvec.write(_base(spark, sf_dir), f"{home}/parts", "fvec")
+    xvec.assemble(f"{home}/parts", f"{home}/a.fvec")
+    found = xvec.info(f"{home}/a.fvec")
+    return spark.createDataFrame([(found["element"], found["dimension"], found["rows"], found["bytes"])], "element string, dimension long, rows long, bytes long")

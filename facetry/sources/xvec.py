@@ -89,6 +89,12 @@ def byte_order(uri: str, kind: str | None = None) -> dict:
     return {"little": little, "big": big, "mismatch": big and not little}
 
 
+def info(uri: str, kind: str | None = None) -> dict:
+    """Format, dimension, records and bytes of a vector file."""
+    at = layout(uri, kind)
+    return {"element": at.element.memory, "dimension": at.dimension, "rows": at.rows, "bytes": storage.size(uri), **byte_order(uri, kind)}
+
+
 def decode(raw: bytes, at: Layout) -> np.ndarray:
     """(rows, dimension) of whole records; a record of another dimension raises."""
     rows = np.frombuffer(raw, np.dtype([("d", "<i4"), ("v", at.element.disk, (at.dimension,))]))

@@ -273,6 +273,14 @@ def test_merkle(spark, tmp_path, n):
     I.save(str(tmp_path / "f.mrkl"), shape, nodes, {0})
     assert I.load(str(tmp_path / "f.mrkl")) == (shape, nodes, {0})
     assert [h for _, h in I.path_to_root(nodes, 0)][-1] == nodes[0]
+    assert I.summary(str(tmp_path / "f.mrkl")) == {"bytes": len(data), "chunk": 1024, "chunks": n, "leaves": shape.leaves, "valid": 1, "root": nodes[0].hex()}
+    assert len(I.treeview(str(tmp_path / "f.mrkl"), 2)) == min(3, shape.nodes) and f"chunks 0 to {n - 1}, 1 valid" in I.treeview(str(tmp_path / "f.mrkl"))[0]
+    I.spoil(str(tmp_path / "f.mrkl"), {0})
+    assert I.load(str(tmp_path / "f.mrkl")) == (shape, nodes, set())
+    I.spoil(str(tmp_path / "f.mrkl"), {n - 1}, hashes=True)
+    assert I.load(str(tmp_path / "f.mrkl"))[1] == I.tree([*leaves[:-1], bytes(32)])
+    with pytest.raises(ValueError):
+        I.spoil(str(tmp_path / "f.mrkl"), {n})
     (tmp_path / "f.bin").write_bytes(b"!" + data[1:])
     assert [r[0] for r in I.mismatches(rows, I.file_chunks(spark, path, shape)).collect()] in ([0], [])
     other = spark.createDataFrame([(0, "x"), (99, "y")], "chunk long, hash string")
