@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,43 +146,43 @@ class Reader:
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
-    """Encode every text, append `end_id` and write the files; returns the manifest: (file, first, docs, ids, ids_before).
+    """Encode every text, append `end_id` and write the files; returns the manifest: (file, task, number, first, docs, ids, ids_before).
 
-    Documents go in ascending id, null ids first; rows of one id by their text; a null text has the end id alone. Files
-    of attempts that failed stay unlisted: a task names its own files and only the manifest counts.
+    Documents go in ascending id, null ids first; rows of one id by their text, in one task but in as many files as they
+    fill; a null text has the end id alone. Files follow one another by their task, a range of ids, and their number in
+    it. Files of attempts that failed stay unlisted: a task names its own files and only the manifest counts.
     """
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
-    schema = pa.schema([("file", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("task", pa.int64()), ("number", pa.int64()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     def run(batches):
         model = byte_bpe.load(path)
         size = model.library.get_vocab_size()
         width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
-        end, out, n = np.array([end_id], "<u4"), None, 0
+        end, out, n, number, task = np.array([end_id], "<u4"), None, 0, -1, TaskContext.get().partitionId()
 
         def done():
             out.close()
-            return pa.record_batch([pa.array([v], f.type) for v, f in zip((uri, first, n, out.ids), schema)], schema=schema)
+            return pa.record_batch([pa.array([v], f.type) for v, f in zip((uri, task, number, first, n, out.ids), schema)], schema=schema)
 
         for b in small(batches):
             for d, ids in zip(b.column(0).to_pylist(), model.ids(b.column(1).to_pylist())):
-                if out is not None and out.bytes >= FILE_BYTES and d != before:
+                if out is not None and out.bytes >= FILE_BYTES:
                     yield done()
                     out = None
                 if out is None:
-                    uri, first, n = f"{folder}/ids-{uuid.uuid4().hex}.zst", d, 0
+                    uri, first, n, number = f"{folder}/ids-{uuid.uuid4().hex}.zst", d, 0, number + 1
                     out = Writer(uri, width)
                 out.add(d, np.concatenate([np.frombuffer(ids, "<u4"), end]))
                 n += 1
-                before = d
         if out is not None:
             yield done()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, first long, docs long, ids long")
+    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, task long, number long, first long, docs long, ids long")
     files = written(files, "ids-files")
     # One row for every file of tens of megabytes.
-    before = F.sum("ids").over(Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("ids").over(Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("ids_before", F.coalesce(before, F.lit(0)))
 
 
