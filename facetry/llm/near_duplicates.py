@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import release, slices, small, sweep, written
+from ._shared import kept, release, slices, small, sweep, written
 from ._words import Words, mix
 from .components import components
 
@@ -26,17 +26,18 @@ SHINGLE, PERCENT = 5, 85
 #: A pair at exactly the wanted similarity shares no band with a probability of MISS at most; a band has ROWS places,
 #: or fewer where a signature would need more than PLACES.
 MISS, ROWS, PLACES = 1e-5, 4, 128
-BLOCK = 256
+#: Members of a block of a bucket, and shingles of all of them, about.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def banding(percent: int) -> tuple[int, int]:
+def banding(percent: int, miss: float = MISS) -> tuple[int, int]:
     """(bands, rows) for a similarity of `percent`: 16 x 4 at 85, 22 x 4 at 80, 41 x 2 at 50."""
     if not 0 < percent <= 100:
         raise ValueError("a similarity is above 0 and up to 100 percent")
     for rows in range(ROWS, 0, -1):
         apart = 1 - (percent / 100) ** rows
-        bands = math.ceil(math.log(MISS) / math.log(apart)) if apart > 0 else 1
+        bands = math.ceil(math.log(miss) / math.log(apart)) if apart > 0 else 1
         if bands * rows <= PLACES:
             return bands, rows
     raise ValueError(f"a similarity of {percent} percent needs more than {PLACES} places")
@@ -104,6 +105,7 @@ def signed(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> DataF
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        kept("near_duplicates")
         for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
@@ -127,6 +129,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
+        kept("near_duplicates")
         for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
@@ -188,28 +191,32 @@ def block_links(left: list, right: list | None, percent: int = PERCENT):
             yield members[i][0], members[j][0]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs`.
 
     Sets are the distinct `size`-word shingles of the lower-cased text (A-Z), or all its words in one where they are
     fewer; a null text, or one without words, has the empty set, which links with nothing. Documents with similarity of
     `percent` or more are linked; component_id is the smallest linked id, kept whether that is the row's own. Rows of
-    one id count as one document that has the links of all of them. A row with a null id has no component and is kept.
+    one id count as one document that has the links of all of them. A pair of exactly that similarity shares no band, and
+    its link is lost, with a probability of `miss` at most; a smaller one costs more bands. A row with a null id has no component and is kept.
     Other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    table = written(signed(rows, *banding(percent), size=size), "signatures")
+    table = written(signed(rows, *banding(percent, miss), size=size), "signatures")
     usable = table.where("doc_id is not null and set_key is not null")
+    # Copies of a set are combined in each task before they meet.
+    nodes = usable.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").alias("node"), "n_shingles", "bands")).alias("n")).select("n.*")
     keys = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = usable.join(keys, "set_key").where("doc_id = node").dropDuplicates(["set_key"]).select("node", "n_shingles", "bands")
     entries = written(nodes.select("node", "n_shingles", F.explode("bands").alias("key")), "bands")
-    full = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # What is joined on a bucket's key is written first: Spark can then split the partition of a large bucket.
+    full = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "full")
     shared = written(entries.join(full, "key"), "buckets")
-    release(entries)
+    release(entries, full)
     # The hub of a bucket is its member with the most places in buckets, weighted by their size; then the smallest id.
     weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = shared.join(weight, "node")
     hub = weighed.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"))).alias("h")).select("key", "h.hub", "h.hub_n")
+    hub = written(hub, "hubs")
     ratio = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
     pairs = shared.join(hub, "key").where("node <> hub").where(ratio).select("hub", "node").distinct()
     wanted = shared.select("node").distinct()
@@ -217,6 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches):
+        kept("near_duplicates")
         for b in small(batches):
             keep = pa.array([similar(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
@@ -226,15 +234,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(components(links), "components")
     # Buckets of three or more whose members are still in several components: everything in them is compared.
     placed = shared.where("size > 2").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
+    mixed = written(mixed, "unsettled")
     rest = written(placed.select("key", "node", "component").join(mixed, "key"), "mixed")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     # A block meets every block of its bucket once: (low, high) names the meeting.
-    meet = rest.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = meet.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component").join(sets, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept("near_duplicates")
         low = pdf["low"].iat[0]
         members = lambda x: list(zip(x["node"], x["component"], x["shingles"]))
         mine = pdf["own"] == low
@@ -243,10 +252,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     more = meet.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
     second = written(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
-    release(shared, rest, sets, links, first)
+    release(shared, rest, sets, links, first, hub, mixed)
     sweep(docs.sparkSession)
     found = second.withColumnRenamed("component", "least")
     # Rows of one id may have several sets: their smallest component is that of the id.
-    labels = keys.join(found, "node", "left").select("set_key", F.coalesce("least", "node").alias("least"))
+    labels = written(keys.join(found, "node", "left").select("set_key", F.coalesce("least", "node").alias("least")), "labels")
     marked = table.join(labels, "set_key", "left")
     return marked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
