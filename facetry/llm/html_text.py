@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small
+from ._shared import kept, small
 
 #: Pages that the weights are fitted on, at most, and the most characters of one of them.
 LABELLED, CHARACTERS = 1_000, 200_000
@@ -210,10 +210,18 @@ def _region(page: str, weights: dict, marked: bool) -> str:
 
 
 def learned(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict:
-    """fit() on a bounded sample of pages: those with exactly one main element, taken by a hash of their id."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    """fit() on a bounded sample of pages: of those with exactly one main element, LABELLED with the least hashes of their id."""
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 24).cast("double") / float(1 << 40)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), hashed.alias("draw"))
     marks = F.size(F.split(F.lower("html"), r"<(?:article|main)[\s>]")) - 1
-    some = rows.where((F.length("html") <= CHARACTERS) & (marks == 1)).orderBy(F.xxhash64("id"), "id").limit(LABELLED).select("html")
+    share = 4 * LABELLED / max(1, rows.count())
+    while True:
+        # Only hashes below a threshold are looked at, and only those go to the task that orders them.
+        some = rows.where((F.col("draw") < share) & (F.length("html") <= CHARACTERS) & (marks == 1))
+        if share >= 1 or some.count() >= LABELLED:
+            break
+        share *= 8
+    some = some.orderBy("draw", "id").limit(LABELLED).select("html")
     schema = pa.schema([("kind", pa.string()), ("name", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])
 
     def count(batches):
@@ -236,6 +244,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
+        kept("html_text")
         for b in small(batches):
             found = [extract(x, weights) for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], schema=schema)
