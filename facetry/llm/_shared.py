@@ -114,15 +114,37 @@ class Memo:
 
     def lookup(self, lists) -> dict:
         """A table that has all strings of the lists, until the next call."""
+        self._turn()
+        fresh = self.unknown(set().union(*lists))
+        if fresh:
+            self.hold(dict(zip(fresh, self.compute(fresh))))
+        return self.new
+
+    def values(self, keys: list) -> list:
+        """The values, none of them None, of distinct strings of a bounded part of the input: one search of a key that the
+        new generation has."""
+        self._turn()
+        out, old, held, fresh = list(map(self.new.get, keys)), self.old.get, {}, []
+        for i, v in enumerate(out):
+            if v is None:
+                v = old(keys[i])
+                if v is None:
+                    fresh.append(i)
+                else:
+                    held[keys[i]] = out[i] = v
+        if fresh:
+            for i, v in zip(fresh, self.compute([keys[i] for i in fresh])):
+                held[keys[i]] = out[i] = v
+        self.hold(held)
+        return out
+
+    def _turn(self) -> None:
+        """What only passed through goes, and a full generation becomes the old one."""
         for k in self.passing:
             self.new.pop(k, None)
         self.passing = []
         if self.bytes > self.most:
             self.old, self.new, self.bytes = self.new, {}, 0
-        fresh = self.unknown(set().union(*lists))
-        if fresh:
-            self.hold(dict(zip(fresh, self.compute(fresh))))
-        return self.new
 
     def unknown(self, keys: set) -> list:
         """Those of `keys` that are in neither generation; what the old one has comes to the new one."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from ._shared import small, tokenizer_path, written
+from ._shared import tokenizer_path, written
 
 CAPACITY = 1024
 #: Documents whose ranks one task gives, about.
@@ -140,9 +140,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         model = byte_bpe.load(path)
-        for batch in small(batches):
+        for batch in batches:
             out = [[] for _ in schema]
-            for d, ids in zip(batch.column(0).to_pylist(), model.ids(batch.column(1).to_pylist())):
+            for d, ids in zip(batch.column(0).to_pylist(), model.ids(batch.column(1))):
                 ids = memoryview(ids + end)
                 n = len(ids) // 4
                 for s in range(0, n, capacity):

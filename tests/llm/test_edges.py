@@ -59,6 +59,81 @@ def test_byte_bpe_is_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_byte_bpe_encodes_a_word_once():
+    """Marks behind a word make no further string of it, wherever the text breaks."""
+    model = byte_bpe.ByteBPE(tokenizer_path("byte_bpe_50k.json"))
+    asked, compute = [], model.memo.compute
+    model.memo.compute = lambda keys: asked.extend(keys) or compute(keys)
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abcdeéñß\u0436\u03b1") for _ in range(6)) for _ in range(300)})
+    texts = [f"go {w}{m} and\n{w}{m}" for w in words for m in ["", ".", ",", "&&&", "'s!", "7"]]
+    for t, ids in zip(texts, model.ids(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == model.library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(asked) == len(set(asked)) and len(asked) <= 2 * len(words) + 10
+
+
+def test_byte_bpe_of_arrow_arrays(monkeypatch):
+    """Slices, nulls, empty and large arrays, white space beyond ASCII, and blocks that end anywhere between texts."""
+    import pyarrow as pa
+
+    model, r = byte_bpe.ByteBPE(tokenizer_path("byte_bpe_50k.json")), random.Random(7)
+    letters = "ab \n.'sé漢”0\x85\xa0\u1680\u2003\u2028\u202f\u3000÷ж<|endoftext|>"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 12))) if r.random() < 0.9 else None for _ in range(3000)]
+    want = [np.array(model.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size in (1 << 23, 50, 1):
+        monkeypatch.setattr(byte_bpe, "BLOCK", size)
+        for kind in (pa.string(), pa.large_string()):
+            column = pa.array(["before", *texts], kind)
+            assert list(model.ids(column[1:])) == want and list(model.ids(column[11:500])) == want[10:499]
+    assert list(model.ids(pa.array(["", None, ""]))) == [b""] * 3 and list(model.ids(pa.array([], pa.string()))) == []
+
+
+def _task(monkeypatch, operator):
+    """The function that an operator hands to mapInArrow, and the lists of strings that the encoder is then asked for."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    runs, asked = [], []
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "mapInArrow", lambda df, run, schema: runs.append(run) or 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            operator()
+    model = byte_bpe.ByteBPE(tokenizer_path("byte_bpe_50k.json"))
+    compute = model.memo.compute
+    model.memo.compute = lambda keys: asked.append(keys) or compute(keys)
+    monkeypatch.setattr(byte_bpe, "load", lambda path: model)
+    return runs[0], asked, model.library
+
+
+def _rows():
+    """5,000 short texts of 400 words with marks behind them, as one batch."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(400)]
+    texts = [" ".join(r.choice(words) + r.choice(["", ".", ",", "!", "?", "7"]) for _ in range(12)) for _ in range(5000)]
+    return texts, pa.record_batch([pa.array(range(5000), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def test_packing_encodes_by_the_block(spark, monkeypatch):
+    run, asked, library = _task(monkeypatch, lambda: packing.pieces(spark.createDataFrame([(1, "x")], "doc_id long, text string")))
+    texts, batch = _rows()
+    got = [x for b in run(iter([batch])) for x in b.to_pylist()]
+    assert [x["ids_crc32"] for x in got] == [zlib.crc32(np.array([*e.ids, 0], "<u4").tobytes()) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    # One question for the whole batch: words after a space without their marks, texts' first words with them.
+    assert len(asked) == 1 and len(asked[0]) < 400 + 400 * 6 + 10
+
+
+def test_memo_values_are_those_of_lookup():
+    asked = []
+    memo, r = Memo(lambda keys: asked.extend(keys) or [k.encode() for k in keys], 50_000), random.Random(1)
+    for _ in range(300):
+        keys = list({str(int(r.expovariate(0.001))) for _ in range(50)} | {"x" * 100, ""})
+        assert memo.values(keys) == [k.encode() for k in keys]
+        assert memo.bytes < 50_000 + 52 * 1_000 and len(memo.new) + len(memo.old) < 1_200
+    assert asked.count("x" * 100) == 300 and len(asked) < 300 * 52
+    assert memo.values([]) == []
+
+
 def test_words_in_blocks(monkeypatch):
     texts = ["a bb  ccc", "x" * 500 + " y " * 30 + "z" * 20, None, "", "hello world " * 100, "q" * 7000, b"by tes"]
     whole = _words.Words(texts, lower=True)
