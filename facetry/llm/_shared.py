@@ -107,6 +107,7 @@ class Memo:
     """
 
     LONGEST = 64
+    PART = 1 << 15
 
     def __init__(self, compute, most: int = 96 << 20, each: int = 180):
         self.compute, self.most, self.each = compute, most, each
@@ -121,8 +122,14 @@ class Memo:
         return self.new
 
     def values(self, keys: list) -> list:
-        """The values, none of them None, of distinct strings of a bounded part of the input: one search of a key that the
-        new generation has."""
+        """The values, none of them None, of distinct strings: one search of a key that the new generation has. Generations
+        end within long lists, too."""
+        out = []
+        for at in range(0, len(keys), self.PART):
+            out += self._values(keys[at : at + self.PART])
+        return out
+
+    def _values(self, keys: list) -> list:
         self._turn()
         out, old, held, fresh = list(map(self.new.get, keys)), self.old.get, {}, []
         for i, v in enumerate(out):

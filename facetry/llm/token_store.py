@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from ._shared import new_folder, small, tokenizer_path, written
+from ._shared import new_folder, tokenizer_path, written
 
 # Magic numbers of the zstandard skippable frame and of its seekable format.
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -165,8 +165,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             out.close()
             return pa.record_batch([pa.array([v], f.type) for v, f in zip((uri, task, number, first, n, out.ids), schema)], schema=schema)
 
-        for b in small(batches):
-            for d, ids in zip(b.column(0).to_pylist(), model.ids(b.column(1).to_pylist())):
+        for b in batches:
+            for d, ids in zip(b.column(0).to_pylist(), model.ids(b.column(1))):
                 if out is not None and out.bytes >= FILE_BYTES:
                     yield done()
                     out = None

@@ -123,6 +123,16 @@ def test_packing_encodes_by_the_block(spark, monkeypatch):
     assert len(asked) == 1 and len(asked[0]) < 400 + 400 * 6 + 10
 
 
+def test_token_store_encodes_by_the_block(spark, monkeypatch, tmp_path):
+    texts, batch = _rows()
+    run, asked, library = _task(monkeypatch, lambda: token_store.write(spark.createDataFrame([(1, "x")], "doc_id long, text string"), str(tmp_path)))
+    monkeypatch.setattr(token_store, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    files = [x for b in run(iter([batch])) for x in b.to_pylist()]
+    stored = [(d, ids.tolist()) for f in files for d, _, ids in token_store.Reader(f["file"]).documents()]
+    assert stored == [(i, [*e.ids, 2]) for i, e in enumerate(library.encode_batch_fast(texts, add_special_tokens=False))]
+    assert len(asked) == 1 and len(asked[0]) < 400 + 400 * 6 + 10
+
+
 def test_memo_values_are_those_of_lookup():
     asked = []
     memo, r = Memo(lambda keys: asked.extend(keys) or [k.encode() for k in keys], 50_000), random.Random(1)
@@ -132,6 +142,8 @@ def test_memo_values_are_those_of_lookup():
         assert memo.bytes < 50_000 + 52 * 1_000 and len(memo.new) + len(memo.old) < 1_200
     assert asked.count("x" * 100) == 300 and len(asked) < 300 * 52
     assert memo.values([]) == []
+    memo.PART, keys = 100, [str(i) for i in range(5_000)]
+    assert memo.values(keys) == [k.encode() for k in keys] and memo.bytes < 50_000 + 100 * 210 and len(memo.new) + len(memo.old) < 800
 
 
 def test_words_in_blocks(monkeypatch):
