@@ -65,3 +65,14 @@ def test_a_profile_covers_the_whole_base(spark):
     got = registry.QUERIES["verify_profiles"](spark, SF).toPandas()
     assert set(got["profile"]) == {"quarter", "half", "whole"}
     assert got[got["profile"] == "whole"]["ordinal"].max() >= 400 and got[got["profile"] == "half"]["ordinal"].max() < 250
+
+
+#: Queries whose neighbours come of many tasks once tables are large.
+_DEALT = ["knn_expression"]
+
+
+@pytest.mark.parametrize("name", _DEALT)
+def test_neighbours_of_many_tasks(spark, duck, monkeypatch, name):
+    """The same answers where the base has several segments and the queries several parts."""
+    monkeypatch.setattr("facetry.operators.neighbors._grid", lambda n, m, *_: (4, 3))
+    test_query(spark, duck, name)

@@ -62,6 +62,63 @@ def test_knn_of_little(spark, data):
     assert N.knn(base.where("ordinal < 2"), base.where("ordinal = 0"), 5, "L2", exclude_self=True).count() == 1
 
 
+def _brute(x, queries, k, metric, digits=6):
+    out = {}
+    for q in queries:
+        d = np.round(D.bulk(x[q : q + 1], x, metric)[0], digits)
+        out[q] = [int(i) for i in np.lexsort((np.arange(len(x)), d))[:k]]
+    return out
+
+
+def _answers(found):
+    out = {}
+    for r in found.orderBy("query", "rank").collect():
+        out.setdefault(r["query"], []).append(r["ordinal"])
+    return out
+
+
+@pytest.mark.parametrize("metric", ["L2", "L1", "DOT_PRODUCT"])
+def test_knn_by_segments_and_parts(data, metric):
+    x, base = data
+    queries = base.where("ordinal % 3 = 0")
+    found = N.knn(base, queries, 7, metric, 6, segment=100, pairs=3000)
+    assert _answers(found) == _brute(x, range(0, 300, 3), 7, metric)
+
+
+def test_grid_bounds_a_task():
+    for n, m in ((102_564, 5_129), (615_384, 30_770), (10**7, 10), (10, 10**7), (0, 0), (10**7, 5 * 10**5)):
+        segments, parts = N._grid(n, m)
+        assert n / segments <= N.SEGMENT and n * m / (segments * parts) <= N.PAIRS
+        assert segments * parts <= max(1, 2 * n * m / N.PAIRS, 2 * n / N.SEGMENT)
+
+
+def test_knn_expression_scores_no_pair_but_the_nearest(data):
+    _, base = data
+    plan = N.knn_expression(base, base.where("ordinal % 30 = 0"), 7, "L2", 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "MapInArrow" in plan
+
+
+def test_nearest_of_a_segment():
+    """Exact where a matrix product is not: far from the origin, beside NaN and infinity, among many alike, and of little."""
+    rng = np.random.default_rng(5)
+    near = 1e6 + rng.integers(0, 1000, (2000, 8)) / 1e5
+    odd = rng.normal(size=(2000, 8))
+    odd[7], odd[8, 3] = np.nan, np.inf
+    alike = np.repeat(rng.normal(size=(4, 8)), 500, axis=0)
+    for x in (near, odd, alike, near[:3], rng.normal(size=(997, 8)).astype(np.float32)):
+        for metric in ("L2", "L1", "DOT_PRODUCT", "COSINE"):
+            for digits in (None, 2):
+                asked = np.arange(min(len(x), 20)) if x is not odd else np.arange(20, 40)
+                q, ids = x[asked], np.arange(len(x))
+                with np.errstate(invalid="ignore"):
+                    d = np.stack([D.paired(np.tile(v.astype(float), (len(x), 1)), x.astype(float), metric) for v in q])
+                    d = d if digits is None else np.round(d, digits)
+                    of, found, far = N._Segment(ids, x, D.canonical(metric), 5, digits).nearest(asked, q)
+                for i, row in zip(asked, d):
+                    best = np.lexsort((ids, row))[:5]
+                    assert found[of == i].tolist() == best.tolist() and np.array_equal(far[of == i], row[best], equal_nan=True)
+
+
 def test_filtered_and_verified(data):
     x, base = data
     queries = base.where("ordinal < 4")
