@@ -68,7 +68,8 @@ def facets_paired(spark, sf_dir):
 @query(f"with f as ({_KNN_SQL}) select query, rank, ordinal, 10 max_k from f where rank <= 4")
 def neighbors_truncated(spark, sf_dir):
     """A neighbour facet cut to a smaller k, with the k that it had."""
-    facet = neighbors.facets(_knn(spark, sf_dir))
+    # Read twice, found once.
+    facet = storage.written(neighbors.facets(_knn(spark, sf_dir)), "neighbors")
     short = neighbors.ranked(neighbors.truncated(facet, 4)).withColumnRenamed("value", "ordinal")
     return short.select("query", F.col("rank").cast("int").alias("rank"), "ordinal").crossJoin(neighbors.max_k(facet))
 

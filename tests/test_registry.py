@@ -68,7 +68,7 @@ def test_a_profile_covers_the_whole_base(spark):
 
 
 #: Queries whose neighbours come of many tasks once tables are large.
-_DEALT = ["knn_expression", "knn_verify_recall", "knn_hubness"]
+_DEALT = ["knn_expression", "knn_verify_recall", "knn_hubness", "neighbors_truncated"]
 
 
 @pytest.mark.parametrize("name", _DEALT)
@@ -76,3 +76,8 @@ def test_neighbours_of_many_tasks(spark, duck, monkeypatch, name):
     """The same answers where the base has several segments and the queries several parts."""
     monkeypatch.setattr("facetry.operators.neighbors._grid", lambda n, m, *_: (4, 3))
     test_query(spark, duck, name)
+
+
+def test_neighbours_are_found_once_and_read_twice(spark):
+    plan = registry.QUERIES["neighbors_truncated"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Relation [") == 2
