@@ -68,7 +68,7 @@ def test_a_profile_covers_the_whole_base(spark):
 
 
 #: Queries whose neighbours come of many tasks once tables are large.
-_DEALT = ["knn_expression", "knn_verify_recall", "knn_hubness", "neighbors_truncated", "neighbor_dereference", "verify_profiles"]
+_DEALT = ["knn_expression", "knn_verify_recall", "knn_hubness", "neighbors_truncated", "neighbor_dereference", "verify_profiles", "knn_predicated"]
 
 
 @pytest.mark.parametrize("name", _DEALT)
@@ -81,3 +81,8 @@ def test_neighbours_of_many_tasks(spark, duck, monkeypatch, name):
 def test_neighbours_are_found_once_and_read_twice(spark):
     plan = registry.QUERIES["neighbors_truncated"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("Relation [") == 2
+
+
+def test_no_row_is_made_of_a_pair(spark):
+    plan = registry.QUERIES["knn_predicated"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan

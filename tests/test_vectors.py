@@ -138,6 +138,17 @@ def test_filtered_and_verified(data):
     assert sizes.where("profile = 'b'").select("query", "rank", "ordinal").exceptAll(exact.select("query", "rank", "ordinal")).count() == 0
 
 
+def test_queries_that_share_predicates(data):
+    """Equal predicates are solved once; 1 and 1.0 are told apart; a query whose predicate admits nothing has no answer."""
+    x, base = data
+    queries = base.where("ordinal < 40")
+    nodes = [leaf("label", "EQ", 1), leaf("label", "LE", 1.0), leaf("label", "GE", 2), leaf("label", "EQ", 9), leaf("label", "LE", 1)]
+    admits = [lambda label: label == 1, lambda label: label <= 1, lambda label: label >= 2, lambda label: False, lambda label: label <= 1]
+    got = _answers(N.predicated_knn(base, queries, [(q, nodes[q % 5]) for q in range(40)], 5, "L2", 6))
+    for q, found in _brute(x, range(40), 300, "L2").items():
+        assert got.get(q, []) == [i for i in found if admits[q % 5](i % 4)][:5]
+
+
 def test_vector_order(spark):
     df = spark.createDataFrame([([1.0],), ([1.0, 2.0],), ([0.5, 9.0],), ([1.0, 1.0],)], "v array<double>")
     assert [r["v"] for r in df.orderBy(*N.vector_order("v")).collect()] == [[0.5, 9.0], [1.0, 1.0], [1.0, 2.0], [1.0]]
