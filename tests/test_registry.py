@@ -68,7 +68,7 @@ def test_a_profile_covers_the_whole_base(spark):
 
 
 #: Queries whose neighbours come of many tasks once tables are large.
-_DEALT = ["knn_expression", "knn_verify_recall", "knn_hubness", "neighbors_truncated", "neighbor_dereference", "verify_profiles", "knn_predicated", "knn_exact"]
+_DEALT = ["knn_expression", "knn_verify_recall", "knn_hubness", "neighbors_truncated", "neighbor_dereference", "verify_profiles", "knn_predicated", "knn_exact", "knn_filtered"]
 
 
 @pytest.mark.parametrize("name", _DEALT)
