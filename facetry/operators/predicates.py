@@ -321,13 +321,17 @@ def frame(node: Node, typed: bool | None = None) -> bytes:
     return bytes([DIALECT, TYPED] if typed else [DIALECT]) + encode(node, True, typed)
 
 
+_STRUCTS: dict[str, struct.Struct] = {}
+
+
 class _Bytes:
     def __init__(self, raw: bytes):
         self.raw, self.at = raw, 0
 
     def take(self, form: str):
-        out = struct.unpack_from("<" + form, self.raw, self.at)
-        self.at += struct.calcsize("<" + form)
+        known = _STRUCTS.get(form) or _STRUCTS.setdefault(form, struct.Struct("<" + form))
+        out = known.unpack_from(self.raw, self.at)
+        self.at += known.size
         return out[0] if len(out) == 1 else out
 
     def bytes(self, n: int) -> bytes:

@@ -257,6 +257,10 @@ def metadata_layout_records(spark, sf_dir):
     return records.decode_frame(slab.read(spark, folder, "metadata_content").select("ordinal", "data"), layout).withColumn("p_size", F.coalesce("p_size", F.lit(-1)))
 
 
+#: Records that a task encodes, where records are dealt out before they are.
+_DEALT = 1 << 16
+
+
 @query("select o_orderkey::bigint ordinal, o_orderstatus status, o_totalprice::double price, year(o_orderdate)::bigint \"year\", o_totalprice > 100000 large from orders")
 def metadata_typed_records(spark, sf_dir):
     """Orders as self-describing records: printed, parsed, encoded and decoded again."""
@@ -268,12 +272,15 @@ def metadata_typed_records(spark, sf_dir):
             out = [[], [], [], []]
             for status, price, year, large in zip(*(c.to_pylist() for c in b.columns[1:])):
                 r = records.decode(records.encode(records.parse_record(records.format_record(Record.of(status=status, price=price, year=year, large=large)))))
+                fields = r.to_dict()
                 for column, name in zip(out, ("status", "price", "year", "large")):
-                    column.append(r.get(name))
+                    column.append(fields.get(name))
             yield pa.record_batch([b.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], names=["ordinal", "status", "price", "year", "large"])
 
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("ordinal"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"), F.year("o_orderdate").cast("long").alias("year"), (F.col("o_totalprice") > 100000).alias("large"))
-    return orders.mapInArrow(run, "ordinal long, status string, price double, year long, large boolean")
+    # Dealt by number: a file's row groups may hold millions of rows, and a record takes far longer than its shuffle.
+    dealt = orders.repartition(max(1, -(-orders.count() // _DEALT)), "ordinal")
+    return dealt.mapInArrow(run, "ordinal long, status string, price double, year long, large boolean")
 
 
 _JSON = [(i, predicates.to_json(node)) for i, node in _STORED]

@@ -86,3 +86,9 @@ def test_neighbours_are_found_once_and_read_twice(spark):
 def test_no_row_is_made_of_a_pair(spark):
     plan = registry.QUERIES["knn_predicated"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_typed_records_are_dealt_out(spark, duck, monkeypatch):
+    monkeypatch.setattr(stores, "_DEALT", 500)
+    assert registry.QUERIES["metadata_typed_records"](spark, SF).rdd.getNumPartitions() == 3
+    test_query(spark, duck, "metadata_typed_records")
